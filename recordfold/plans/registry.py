@@ -1,9 +1,19 @@
 """Collects the registered queries of every plan module."""
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("queries", "q_access", "q_records", "q_reshape", "q_rules", "q_eval", "q_stream")
+
 
 def _load():
-    from recordfold.plans import queries  # noqa: F401  (registers on import)
+    from recordfold.plans import queries
+    for m in MODULES:
+        try:
+            importlib.import_module(f"recordfold.plans.{m}")
+        except ModuleNotFoundError as e:
+            if e.name != f"recordfold.plans.{m}":
+                raise
     return queries
 
 
