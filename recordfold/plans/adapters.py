@@ -137,3 +137,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+
+
+def drug_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drug name -> (ATC, UCD) from part; every seventh part is missing, so
+    some doses find no entry."""
+    p = table(spark, sf_dir, "part").where(F.col("p_partkey") % 7 != 0)
+    atc = F.concat(F.upper(F.substring("p_type", 1, 1)), F.lpad(_s("p_size"), 2, "0"),
+                   F.expr("substr(p_brand, 7)"))
+    return p.select(F.concat(F.lit("drug-"), _s("p_partkey")).alias("nom"), atc.alias("atc"),
+                    _s(F.col("p_partkey") + 9200000).alias("ucd"), "p_partkey")
