@@ -147,3 +147,66 @@ def drug_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.expr("substr(p_brand, 7)"))
     return p.select(F.concat(F.lit("drug-"), _s("p_partkey")).alias("nom"), atc.alias("atc"),
                     _s(F.col("p_partkey") + 9200000).alias("ucd"), "p_partkey")
+
+
+# ------------------------------------------------------------ rule dictionary
+
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part -> rules (id 'RG-<partkey>')."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit("RG-"), _s("p_partkey")).alias("id"), F.col("p_name").alias("titre"),
+                    F.col("p_type").alias("categorie"),
+                    F.concat(F.lit("SI "), F.col("p_name")).alias("logique"),
+                    F.col("p_brand").alias("code"), F.col("p_name").alias("libelle"),
+                    F.when(F.col("p_size") % 2 == 0, "CIM-10").otherwise("CCAM").alias("type"),
+                    F.concat_ws(" ", "p_type", _s("p_size")).alias("description"))
+
+
+def rule_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem -> conditions of the rule of its part (ordre = line number)."""
+    li = table(spark, sf_dir, "lineitem")
+    m = F.col("l_linenumber") % 4
+    op = (F.when(m == 0, "wordlist").when(m == 1, "lt").when(m == 2, "regex").otherwise("startswith"))
+    val = (F.when(m == 0, F.when(F.col("l_quantity") <= 45,
+                                 F.concat_ws("|", "l_returnflag", "l_linestatus")))
+           .when(m == 1, _s("l_quantity"))
+           .when(m == 2, F.concat(F.lit("R"), F.col("l_returnflag")))
+           .otherwise(F.col("l_linestatus")))
+    return li.select(F.concat(F.lit("RG-"), _s("l_partkey")).alias("rule_id"),
+                     F.col("l_linenumber").alias("ordre"), F.lit("lineitem.l_quantity").alias("champ"),
+                     op.alias("operateur"), val.alias("valeur"),
+                     F.when(m == 2, F.lit("i")).alias("flags"))
+
+
+def rule_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier -> comments on rule 'RG-<37*suppkey>' (blank text every ninth)."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(F.concat(F.lit("c"), _s(k)).alias("id"),
+                    F.concat(F.lit("RG-"), _s(k * 37)).alias("rule_id"),
+                    F.concat(F.lit("u"), _s(k % 150)).alias("auteur"),
+                    F.when(k % 9 == 0, F.lit("   ")).otherwise(F.concat(F.lit(" "), F.col("s_name")))
+                    .alias("texte"))
+
+
+def rule_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier -> partial updates of rule 'RG-<23*suppkey>'."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(F.concat(F.lit("RG-"), _s(k * 23)).alias("id"),
+                    F.when(k % 2 == 0, F.col("s_name")).alias("titre"),
+                    F.when(k % 3 == 0, F.concat(F.lit("SI "), F.col("s_name"))).alias("logique"),
+                    F.lit(None).cast("string").alias("description"))
+
+
+def new_rule_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier -> replacement condition sets (two conditions per rule)."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    x = s.select(k, "s_nationkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("ordre"))
+    return x.select(F.concat(F.lit("RG-"), _s(k * 23)).alias("rule_id"), "ordre",
+                    F.when(F.col("ordre") == 0, "supplier.s_nationkey").otherwise("supplier.s_name")
+                    .alias("champ"),
+                    F.when(F.col("ordre") == 0, "lt").otherwise("startswith").alias("operateur"),
+                    F.when(F.col("ordre") == 0, _s("s_nationkey")).otherwise(F.lit("Supp")).alias("valeur"),
+                    F.lit(None).cast("string").alias("flags"))

@@ -110,3 +110,36 @@ SELECT CAST(o.o_custkey AS VARCHAR) AS patient_id,
        CASE WHEN d.doc_id % 5 <> 0 THEN CAST(d.doc_id AS VARCHAR) END AS id_sejour,
        CAST(d.doc_id AS VARCHAR) AS doc_id, d.lang AS type, d.source AS titre, d.text AS full_text
 FROM documents d LEFT JOIN orders o ON d.doc_id = o.o_orderkey""")
+
+cte("rules", """
+SELECT 'RG-' || CAST(p_partkey AS VARCHAR) AS id, p_name AS titre, p_type AS categorie, 'SI ' || p_name AS logique,
+       p_brand AS code, p_name AS libelle, CASE WHEN p_size % 2 = 0 THEN 'CIM-10' ELSE 'CCAM' END AS type,
+       p_type || ' ' || CAST(p_size AS VARCHAR) AS description
+FROM part""")
+
+cte("conds", """
+SELECT 'RG-' || CAST(l_partkey AS VARCHAR) AS rule_id, l_linenumber AS ordre, 'lineitem.l_quantity' AS champ,
+       CASE l_linenumber % 4 WHEN 0 THEN 'wordlist' WHEN 1 THEN 'lt' WHEN 2 THEN 'regex' ELSE 'startswith' END AS operateur,
+       CASE l_linenumber % 4 WHEN 0 THEN CASE WHEN l_quantity <= 45 THEN l_returnflag || '|' || l_linestatus END
+                             WHEN 1 THEN CAST(l_quantity AS VARCHAR) WHEN 2 THEN 'R' || l_returnflag
+                             ELSE l_linestatus END AS valeur,
+       CASE WHEN l_linenumber % 4 = 2 THEN 'i' END AS flags
+FROM lineitem""")
+
+cte("comments", """
+SELECT 'c' || CAST(s_suppkey AS VARCHAR) AS id, 'RG-' || CAST(s_suppkey * 37 AS VARCHAR) AS rule_id,
+       'u' || CAST(s_suppkey % 150 AS VARCHAR) AS auteur,
+       CASE WHEN s_suppkey % 9 = 0 THEN '   ' ELSE ' ' || s_name END AS texte
+FROM supplier""")
+
+cte("patches", """
+SELECT 'RG-' || CAST(s_suppkey * 23 AS VARCHAR) AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS titre,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'SI ' || s_name END AS logique, CAST(NULL AS VARCHAR) AS description
+FROM supplier""")
+
+cte("new_conds", """
+SELECT 'RG-' || CAST(s_suppkey * 23 AS VARCHAR) AS rule_id, o AS ordre,
+       CASE WHEN o = 0 THEN 'supplier.s_nationkey' ELSE 'supplier.s_name' END AS champ,
+       CASE WHEN o = 0 THEN 'lt' ELSE 'startswith' END AS operateur,
+       CASE WHEN o = 0 THEN CAST(s_nationkey AS VARCHAR) ELSE 'Supp' END AS valeur, CAST(NULL AS VARCHAR) AS flags
+FROM supplier, (SELECT unnest([0, 1]) AS o) x""")
