@@ -47,9 +47,10 @@ RULE_PARAMS = _st(("rule_id", S), ("ordre", I), ("champ", S), ("operateur", S),
                   ("flags", S))
 RULE_COMMENTS = _st(("id", S), ("rule_id", S), ("auteur", S), ("date", TS), ("texte", S))
 # How a rule's emitted code is chosen when it is not the rule's own code:
-# mode 'term' (matched word -> code), 'capture' (captured group -> code),
-# 'band' (upper bound of the last value -> code).
-RULE_OUTPUTS = _st(("rule_id", S), ("mode", S), ("key", S), ("code", S))
+# mode 'term' (matched word -> code), 'capture' (captured group -> code; the
+# lowest rank found in the stay wins), 'band' (the last value of the stay is
+# below the bound ``key`` -> code; the lowest bound wins).
+RULE_OUTPUTS = _st(("rule_id", S), ("mode", S), ("key", S), ("code", S), ("rank", I))
 
 ACCOUNTS = _st(("username", S), ("role", S))
 ASSIGNMENTS = _st(("username", S), ("patient_id", S), ("pos", I))

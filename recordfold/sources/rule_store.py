@@ -56,22 +56,22 @@ BUILTIN_CONDITIONS = [
     ("RG-10", 0, "fiches.champ_valeur", "wordlist", "aide pour la toilette|toux productive", None),
     ("RG-11", 0, "observations.texte", "wordlist", "dyspnée|douleur", None),
 ]
-# (rule_id, mode, key, code): matched term / captured group / band upper bound
+# (rule_id, mode, key, code, rank): matched term / captured group / band upper bound
 BUILTIN_OUTPUTS = [
-    ("RG-05", "capture", "aiguë", "N17.9"),
-    ("RG-05", "capture", "aigue", "N17.9"),
-    ("RG-05", "capture", "chronique", "N18.9"),
-    ("RG-06", "band", "30", "N18.4"),
-    ("RG-06", "band", "45", "N18.3"),
-    ("RG-06", "band", "60", "N18.2"),
-    ("RG-09", "term", "stent actif", "DDAF004"),
-    ("RG-09", "term", "prothèse totale de hanche", "Z96.6"),
-    ("RG-09", "term", "coxarthrose", "M16.1"),
-    ("RG-09", "term", "foyer de condensation alvéolaire", "J18.1"),
-    ("RG-10", "term", "aide pour la toilette", "Z74.1"),
-    ("RG-10", "term", "toux productive", "R05"),
-    ("RG-11", "term", "dyspnée", "R06.0"),
-    ("RG-11", "term", "douleur", "R52"),
+    ("RG-05", "capture", "aiguë", "N17.9", 0),
+    ("RG-05", "capture", "aigue", "N17.9", 0),
+    ("RG-05", "capture", "chronique", "N18.9", 1),
+    ("RG-06", "band", "30", "N18.4", 0),
+    ("RG-06", "band", "45", "N18.3", 1),
+    ("RG-06", "band", "60", "N18.2", 2),
+    ("RG-09", "term", "stent actif", "DDAF004", 0),
+    ("RG-09", "term", "prothèse totale de hanche", "Z96.6", 0),
+    ("RG-09", "term", "coxarthrose", "M16.1", 0),
+    ("RG-09", "term", "foyer de condensation alvéolaire", "J18.1", 0),
+    ("RG-10", "term", "aide pour la toilette", "Z74.1", 0),
+    ("RG-10", "term", "toux productive", "R05", 0),
+    ("RG-11", "term", "dyspnée", "R06.0", 0),
+    ("RG-11", "term", "douleur", "R52", 0),
 ]
 # ---------------------------------------------------------------------------
 
