@@ -1,13 +1,21 @@
-"""The decision log on storage: one folder per reviewer, append-only.
-
-Layout ``<root>/user=<name>/part-*.csv`` (Hive-style partitioning on the exact
-user name), so reading one reviewer's log prunes to one folder and reading
-everybody's is one directory scan with an explicit schema.
+"""The decision log on storage: append-only, one folder per write batch and
+per reviewer.
+
+Layout ``<root>/batch=<id>/user=<name>/part-*.csv`` (Hive-style partitioning
+on the exact user name).  A batch only ever (over)writes its own folder, so a
+retried batch -- e.g. a streaming micro-batch replayed after a lost executor --
+replaces its earlier output instead of duplicating it.  Reading one reviewer's
+log prunes to their folders; reading everybody's is one directory scan with an
+explicit schema.
 """
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordfold.schemas import ANNOTATIONS
 from recordfold.sources.ingest import empty
@@ -16,11 +24,17 @@ TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 CSV_OPTIONS = {"header": "true", "timestampNTZFormat": TS_FORMAT, "emptyValue": ""}
 
 
-def append_decisions(decisions: DataFrame, root: str) -> None:
-    """Append decisions (ANNOTATIONS columns) to the log under ``root``."""
+READ_SCHEMA = T.StructType(ANNOTATIONS.fields + [T.StructField("batch", T.LongType(), True)])
+
+
+def append_decisions(decisions: DataFrame, root: str, batch_id: int | None = None) -> None:
+    """Append decisions (ANNOTATIONS columns) to the log under ``root`` as one
+    batch; writing the same ``batch_id`` again replaces that batch."""
+    if batch_id is None:
+        batch_id = time.time_ns()
     cols = [f.name for f in ANNOTATIONS.fields]
-    (decisions.select(*cols).write.mode("append").partitionBy("user")
-     .options(**CSV_OPTIONS).csv(root))
+    (decisions.select(*cols).write.mode("overwrite").partitionBy("user")
+     .options(**CSV_OPTIONS).csv(f"{root.rstrip('/')}/batch={batch_id}"))
 
 
 def stamp_now(decisions: DataFrame) -> DataFrame:
@@ -31,9 +45,10 @@ def stamp_now(decisions: DataFrame) -> DataFrame:
 
 def read_all_decisions(spark: SparkSession, root: str) -> DataFrame:
     """Every reviewer's log as one table; absent log -> empty table."""
+    cols = [f.name for f in ANNOTATIONS.fields]
     try:
-        return spark.read.schema(ANNOTATIONS).options(**CSV_OPTIONS).csv(root)
-    except Exception:  # noqa: BLE001  (absent root: nothing written yet)
+        return spark.read.schema(READ_SCHEMA).options(**CSV_OPTIONS).csv(root).select(*cols)
+    except AnalysisException:  # absent root: nothing written yet
         return empty(spark, ANNOTATIONS)
 
 
