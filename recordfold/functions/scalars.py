@@ -128,6 +128,15 @@ def clamp(d, lo, hi) -> Column:
     return F.greatest(_c(lo), F.least(_c(d), _c(hi)))
 
 
+def resolve_day_month(dm, entree) -> Column:
+    """'DD/MM' text without a year -> DATE in the stay's entry year, or the
+    next year when that would fall before the entry (a stay over New Year)."""
+    parts = F.split(_c(dm), "/")
+    txt = F.concat_ws("-", F.year(_c(entree)).cast("string"), parts.getItem(1), parts.getItem(0))
+    d = F.try_to_timestamp(txt, F.lit("yyyy-M-d")).cast("date")
+    return F.when(d < _c(entree), F.add_months(d, 12)).otherwise(d)
+
+
 def date_text(ts) -> Column:
     """Date part of a timestamp as 'yyyy-MM-dd' text."""
     return F.date_format(_c(ts), "yyyy-MM-dd")

@@ -184,11 +184,15 @@ def build_dossiers(t: Mapping[str, DataFrame], latest: DataFrame | None = None)
         manual = None
     code_fields = [F.col("code_id").alias("id"), "code", "type", "libelle", "date", "removed", "manuel"]
     if manual is not None:
-        # manual codes come after the clinician's (higher position)
-        cpos = F.struct(F.lit(0).alias("m"), F.col("pos").alias("p"))
+        # manual codes come after the clinician's, by item id
+        cpos = F.struct(F.lit(0).alias("m"), F.col("pos").cast("bigint").alias("p"),
+                        F.lit(None).cast("string").alias("i"))
+        mpos = F.struct(F.lit(1).alias("m"), F.lit(None).cast("bigint").alias("p"),
+                        F.col("code_id").alias("i"))
         codes = codes.withColumn("_cp", cpos).unionByName(
-            manual.select(*k, "code_id", "code", "type", "libelle", "date", "removed", "manuel",
-                          F.struct(F.lit(1).alias("m"), F.col("code_id").alias("p")).alias("_cp")),
+            manual.select(*k, "code_id", "code", "type", "libelle",
+                          F.col("date").cast(codes.schema["date"].dataType).alias("date"),
+                          "removed", "manuel", mpos.alias("_cp")),
             allowMissingColumns=True)
         code_pos = "_cp"
     else:
