@@ -39,12 +39,15 @@ def expand_doses(prescriptions: DataFrame, stays: DataFrame,
     start = clamp(F.col("debut"), F.col("entree"), F.col("sortie"))
     end = clamp(F.coalesce(F.col("fin"), F.col("sortie")), F.col("entree"), F.col("sortie"))
     j = j.withColumn("_start", start).withColumn("_end", end).where(F.col("_end") >= F.col("_start"))
+    # daily hours as minutes after midnight, computed once per prescription
+    minutes = F.transform(dose_hours("frequence"), lambda h: F.substring(h, 1, 2).cast("int") * 60
+                          + F.substring(h, 4, 2).cast("int"))
+    j = j.withColumn("_mins", minutes)
     days = j.withColumn("_day", F.explode(F.sequence("_start", "_end")))
-    doses = days.withColumn("_hour", F.explode(dose_hours("frequence")))
-    ts = F.to_timestamp_ntz(F.concat_ws(" ", F.col("_day").cast("string"), F.col("_hour")),
-                            F.lit("yyyy-MM-dd HH:mm"))
+    doses = days.withColumn("_min", F.explode("_mins"))
+    ts = F.col("_day").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("_min"))
     return doses.withColumn("date_administration", ts) \
-        .drop("_start", "_end", "_day", "_hour", "entree", "sortie")
+        .drop("_start", "_end", "_day", "_mins", "_min", "entree", "sortie")
 
 
 def drug_lookup(doses: DataFrame, catalogue: DataFrame, name: str = "nom") -> DataFrame:

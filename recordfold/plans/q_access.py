@@ -246,7 +246,7 @@ def q_export_all(spark, sf_dir):
     reviewers' logs back as one table (the consolidated export)."""
     root = scratch_path(spark, "decision-log")
     log = ad.decision_log(spark, sf_dir).select(*[f.name for f in ANNOTATIONS.fields])
-    decisions.append_decisions(log.sortWithinPartitions("user"), root)
+    decisions.append_decisions(log, root)
     back = decisions.read_all_decisions(spark, root)
     return back.select(ts_text("timestamp").alias("timestamp"), "user", "patient_id", "id_sejour",
                        "item_type", "item_id", "action", "code", "libelle", "type_code",

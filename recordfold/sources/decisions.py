@@ -33,7 +33,13 @@ def append_decisions(decisions: DataFrame, root: str, batch_id: int | None = Non
     if batch_id is None:
         batch_id = time.time_ns()
     cols = [f.name for f in ANNOTATIONS.fields]
-    (decisions.select(*cols).write.mode("overwrite").partitionBy("user")
+    # Range-partition on (user, seq): a reviewer's rows land in one task (one
+    # file per reviewer and batch) unless they are many, in which case the
+    # range boundaries split that reviewer across tasks -- no task holds a hot
+    # reviewer whole, and small reviewers do not scatter into many tiny files.
+    n = int(decisions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (decisions.select(*cols).repartitionByRange(n, "user", "seq")
+     .write.mode("overwrite").partitionBy("user")
      .options(**CSV_OPTIONS).csv(f"{root.rstrip('/')}/batch={batch_id}"))
 
 
