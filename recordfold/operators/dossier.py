@@ -160,10 +160,20 @@ def build_dossiers(t: Mapping[str, DataFrame], latest: DataFrame | None = None)
     obs = attach_highlights(t["observations"].where(F.col("id_sejour").isNotNull()), hl,
                             "observation", "observation_id")
     obs_fields = [F.col("observation_id").alias("id"), "date", "uf", "categorie", "highlights", "texte"]
+    obs = obs.withColumn("_chrono", F.struct(F.col("date").isNull().alias("n"), F.col("date").alias("d"),
+                                             F.col("pos").alias("p")))
 
     meds = t["medicaments"]
+    from pyspark.sql import types as T
     from recordfold.operators.positional import positional_index
-    meds = positional_index(meds, k, ["pos"], name="_i")
+    # ids follow file order; integral positions also split a hot stay into
+    # ordered buckets of 2^20 rows
+    integral = isinstance(meds.schema["pos"].dataType, (T.IntegerType, T.LongType))
+    bucket = F.shiftright(F.col("pos"), 20) if integral else None
+    meds = positional_index(meds, k, ["pos"], bucket=bucket, name="_i")
+    # displayed in time order (then file order)
+    meds = meds.withColumn("_chrono", F.struct(F.col("date_administration").isNull().alias("n"),
+                                               F.col("date_administration").alias("d"), F.col("pos").alias("p")))
     med_fields = [F.concat(F.col("id_sejour"), F.lit("-med-"), F.col("_i").cast("string")).alias("id"),
                   "nom", "qte", "unite", "atc", "ucd",
                   F.col("date_administration").alias("dateAdministration")]
@@ -207,12 +217,12 @@ def build_dossiers(t: Mapping[str, DataFrame], latest: DataFrame | None = None)
                                    "detail", "uf"], "parcours"),
         "documents": _ordered_list(docs, k, "pos", doc_fields, "documents"),
         "fiches": _ordered_list(forms, k, "first_pos", form_fields, "fiches"),
-        "observations": _ordered_list(obs, k, "pos", obs_fields, "observations"),
+        "observations": _ordered_list(obs, k, "_chrono", obs_fields, "observations"),
         "constantes": _ordered_list(t["constantes"], k, "pos",
                                     ["date", safe_int("fc", t["constantes"].schema["fc"].dataType, None)
                                      .alias("fc"), "ta", "spo2", "temp", "poids"], "constantes"),
         "biologie": _ordered_list(t["biologie"], k, "pos", ["date", "code", "valeur", "unite"], "biologie"),
-        "medicaments": _ordered_list(meds, k, "pos", med_fields, "medicaments"),
+        "medicaments": _ordered_list(meds, k, "_chrono", med_fields, "medicaments"),
         "codesValides": _ordered_list(codes, k, code_pos, code_fields, "codesValides"),
         "suggestions": _ordered_list(sugg, k, "pos", sug_fields, "suggestions"),
     }

@@ -210,3 +210,80 @@ def new_rule_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("ordre") == 0, "lt").otherwise("startswith").alias("operateur"),
                     F.when(F.col("ordre") == 0, _s("s_nationkey")).otherwise(F.lit("Supp")).alias("valeur"),
                     F.lit(None).cast("string").alias("flags"))
+
+
+# ------------------------------------------------------- full domain tables
+
+def _empty_domain(spark: SparkSession, name: str) -> DataFrame:
+    from pyspark.sql import types as T
+    from recordfold.schemas import TABLES
+    schema = T.StructType(TABLES[name].fields + [T.StructField("pos", T.LongType())])
+    return spark.createDataFrame([], schema)
+
+
+def domain_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All eleven reference tables derived from the driver's tables, each
+    with its file position ``pos``.  Forms are conversations (no stay when
+    ``conv_id % 5 = 0``); doses, lab results (two measures per line) and
+    clinician codes are line items; suggestions are benchmark passages found
+    in documents that belong to a stay.  Pathway, observations and vitals
+    have no counterpart and stay empty."""
+    from recordfold.operators.textmatch import find_passages
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    li_pos = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    pid, sid = _s("o_custkey").alias("patient_id"), _s("l_orderkey").alias("id_sejour")
+    t: dict[str, DataFrame] = {}
+    t["patients"] = patients(spark, sf_dir)
+    o = table(spark, sf_dir, "orders")
+    t["sejours"] = o.select(
+        _s("o_custkey").alias("patient_id"),
+        F.datediff(F.lit("2030-01-01").cast("date"), F.to_date("o_orderdate")).alias("ordre"),
+        _s("o_orderkey").alias("id_sejour"), F.col("o_orderpriority").alias("service"),
+        F.to_date("o_orderdate").alias("entree"), F.date_add(F.to_date("o_orderdate"), 60).alias("sortie"),
+        F.col("o_orderkey").alias("pos"))
+    for name in ("parcours", "observations", "constantes"):
+        t[name] = _empty_domain(spark, name)
+    docs = documents(spark, sf_dir)
+    t["documents"] = docs.select(
+        "patient_id", "id_sejour", "doc_id", F.lit(None).cast("date").alias("date"), "type", "titre",
+        F.lit(None).cast("string").alias("uf"), F.substring("full_text", 1, 80).alias("excerpt"),
+        "full_text", F.col("doc_id").cast("bigint").alias("pos"))
+    conv = table(spark, sf_dir, "conversations").join(orders, F.col("conv_id") == F.col("o_orderkey"))
+    t["fiches"] = conv.select(
+        _s("o_custkey").alias("patient_id"),
+        F.when(F.col("conv_id") % 5 != 0, _s("conv_id")).alias("id_sejour"),
+        _s("conv_id").alias("fiche_id"), F.lit("conversation").alias("titre"), F.lit("chat").alias("type"),
+        F.lit(None).cast("date").alias("date"), F.lit(None).cast("string").alias("uf"),
+        F.col("turn").cast("int").alias("champ_ordre"), F.col("role").alias("champ_label"),
+        F.col("text").alias("champ_valeur"), (F.col("conv_id") * 100000 + F.col("turn")).alias("pos"))
+    bio = li.select(pid, sid, F.date_format("l_shipdate", "dd/MM").alias("date"), li_pos.alias("pos"),
+                    F.explode(F.array(
+                        F.struct(F.lit("quantite").alias("code"), F.col("l_quantity").alias("valeur")),
+                        F.struct(F.lit("remise").alias("code"), (F.col("l_discount") + 0.0).alias("valeur"))))
+                    .alias("m"))
+    t["biologie"] = bio.select("patient_id", "id_sejour", "date", "m.code", "m.valeur",
+                               F.lit("").alias("unite"), "pos")
+    t["medicaments"] = li.select(
+        pid, sid, F.concat(F.lit("drug-"), _s("l_partkey")).alias("nom"), F.col("l_quantity").alias("qte"),
+        F.lit("mg").alias("unite"), F.lit(None).cast("string").alias("atc"), _s("l_partkey").alias("ucd"),
+        F.col("l_shipdate").alias("date_administration"), li_pos.alias("pos"))
+    t["codes_valides"] = li.select(
+        pid, sid, F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("code_id"),
+        _s("l_partkey").alias("code"), F.lit("CIM-10").alias("type"), F.lit(None).cast("string").alias("libelle"),
+        F.to_date("l_shipdate").alias("date"),
+        F.when(F.col("l_returnflag") == "R", "oui").otherwise("non").alias("removed"), li_pos.alias("pos"))
+    staydocs = docs.where(F.col("id_sejour").isNotNull())
+    bench = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    hits = find_passages(staydocs, ["patient_id", "id_sejour", "doc_id"], "full_text",
+                         bench, ["item_id"], "passage")
+    hits = hits.join(bench, "item_id")
+    t["suggestions"] = hits.select(
+        "patient_id", "id_sejour", F.concat_ws("-", "doc_id", "item_id").alias("suggestion_id"),
+        F.concat(F.lit("B"), _s("item_id")).alias("code"), F.lit("CIM-10").alias("type"),
+        F.lit(None).cast("string").alias("libelle"), F.lit("50").alias("confiance"),
+        F.lit("document").alias("source_kind"), F.col("doc_id").alias("source_id"),
+        F.lit(None).cast("string").alias("justification"), F.lit(None).cast("string").alias("regle_id"),
+        F.col("passage").alias("highlight"), F.col("item_id").alias("pos"))
+    return t

@@ -251,3 +251,15 @@ def q_export_all(spark, sf_dir):
     return back.select(ts_text("timestamp").alias("timestamp"), "user", "patient_id", "id_sejour",
                        "item_type", "item_id", "action", "code", "libelle", "type_code",
                        "commentaire", "seq")
+
+
+@register("patient_list", with_ctes(["assign", "accounts", "patients"], """
+SELECT a.username, p.patient_id, p.pos AS patient_pos
+FROM assign a JOIN accounts c ON a.username = c.username AND c.role <> 'admin'
+JOIN patients p ON p.patient_id = a.patient_id"""))
+def q_patient_list(spark, sf_dir):
+    """Each reviewer's patient list: known assigned patients with their
+    position in the patient table (the list order)."""
+    vis = access.visible_patients(ad.accounts(spark, sf_dir), _assign(spark, sf_dir),
+                                  ad.patients(spark, sf_dir))
+    return access.patient_list(ad.patients(spark, sf_dir), vis)

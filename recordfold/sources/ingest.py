@@ -93,3 +93,15 @@ def with_position(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.row_index").alias("_row")) \
         .withColumn("pos", F.struct("_file", "_row")).drop("_file", "_row")
+
+
+def write_tables(tables: dict[str, DataFrame], base: str, fmt: str = "parquet",
+                 mode: str = "errorifexists") -> dict[str, int]:
+    """Write every table to ``<base>/<name>.<fmt>``; returns nothing heavy --
+    the row counts come from a second, cheap pass over the written files."""
+    out = {}
+    for name, df in tables.items():
+        path = f"{base.rstrip('/')}/{name}.{fmt}"
+        df.write.mode(mode).format(fmt).save(path)
+        out[name] = df.sparkSession.read.format(fmt).load(path).count()
+    return out

@@ -69,3 +69,22 @@ def test_tolerant_load(spark):
         ("42", None, "12", "texte"), ("43", "9", "13", "autre")]
     missing = ingest.load_table(spark, base, "observations")
     assert missing.count() == 0 and missing.columns == TABLES["observations"].names
+
+
+def test_decision_log_roundtrip_and_tables(spark):
+    import datetime as dt
+    from recordfold.schemas import ANNOTATIONS
+    from recordfold.sources import decisions
+    root = tempfile.mkdtemp(prefix="log-")
+    t0 = dt.datetime(2025, 1, 1, 12, 0, 0, 123456)
+    rows_in = [(t0, "ana", "P1", "S1", "suggestion", "s1", "validé", None, None, None, "a, \"b\"", 1),
+               (t0, "a.b", "P1", "S1", "suggestion", "s2", "rejeté", None, None, None, None, 2)]
+    df = spark.createDataFrame(rows_in, ANNOTATIONS)
+    decisions.append_decisions(df, root, batch_id=1)
+    decisions.append_decisions(df, root, batch_id=1)   # a replayed batch replaces itself
+    back = decisions.read_all_decisions(spark, root)
+    assert sorted(tuple(r) for r in back.collect()) == sorted(rows_in)
+    assert [r.item_id for r in decisions.read_user_decisions(spark, root, "a.b").collect()] == ["s2"]
+    assert decisions.read_all_decisions(spark, root + "/absent").count() == 0
+    counts = ingest.write_tables({"annotations": df}, tempfile.mkdtemp(prefix="tables-"))
+    assert counts == {"annotations": 2}
