@@ -97,3 +97,16 @@ def test_find_passages_equals_brute_force(spark):
     pdf = spark.createDataFrame(passages, "pid int, passage string")
     got = find_passages(tdf, ["tid"], "body", pdf, ["pid"], "passage")
     assert sorted(tuple(r) for r in got.select("tid", "pid", "offset").collect()) == want
+
+
+def test_positional_index_hot_group(spark):
+    # one stay holds ~90% of the rows: its buckets are numbered in parallel
+    data = [("hot" if i % 10 else "s%d" % (i % 7), i % 97, i) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, t int, v int")
+    bucket = F.col("t") / 10
+    got = positional_index(df, ["g"], ["t", "v"], bucket=bucket.cast("int"))
+    want = df.withColumn("idx", (F.row_number().over(Window.partitionBy("g").orderBy("t", "v")) - 1)
+                         .cast("bigint"))
+    assert rows(got) == rows(want)
+    hot_buckets = df.where("g = 'hot'").select(bucket.cast("int")).distinct().count()
+    assert hot_buckets == 10
