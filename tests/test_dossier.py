@@ -110,3 +110,21 @@ def test_positional_index_hot_group(spark):
     assert rows(got) == rows(want)
     hot_buckets = df.where("g = 'hot'").select(bucket.cast("int")).distinct().count()
     assert hot_buckets == 10
+
+
+def test_duplicate_stay_rows(spark):
+    t = tables(spark)
+    extra = spark.createDataFrame([("P2", 5, "S_B", "Rééducation", dt.date(2024, 3, 1), dt.date(2024, 3, 9), 99)],
+                                  t["sejours"].schema)
+    t["sejours"] = t["sejours"].unionByName(extra)
+    p2 = {r.patient_id: r for r in dossier.build_dossiers(t).collect()}["P2"]
+    assert p2.sejourOrder == ["S_B", "S_B"]          # the list keeps both rows
+    assert p2.sejours["S_B"].service == "Rééducation"  # the last by ordre gives the header
+
+
+def test_file_position(spark, tmp_path):
+    from recordfold.sources.ingest import with_position
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(i,) for i in range(50)], "v int").coalesce(1).write.parquet(path)
+    got = [(r.v, r.pos["_row"]) for r in with_position(spark.read.parquet(path)).collect()]
+    assert got == [(i, i) for i in range(50)]
