@@ -4,6 +4,7 @@ driven to completion with ``availableNow`` over the decision log derived from
 from __future__ import annotations
 
 from recordfold.plans import adapters as ad
+from recordfold.plans import q_access  # noqa: F401  (registers export_all, reused as oracle)
 from recordfold.plans.queries import ORACLE, register, ts_text
 from recordfold.schemas import ANNOTATIONS
 from recordfold.session import scratch_path
