@@ -178,11 +178,11 @@ def build_dossiers(t: Mapping[str, DataFrame], latest: DataFrame | None = None)
                   "nom", "qte", "unite", "atc", "ucd",
                   F.col("date_administration").alias("dateAdministration")]
 
-    log = latest if latest is not None else None
     codes = t["codes_valides"]
     sugg = sug
-    if log is not None:
-        la = log.withColumn("user", F.lit("_"))
+    if latest is not None:
+        # one reader's log: a constant user key lets the overlays' joins apply
+        la = latest.withColumn("user", F.lit("_"))
         codes = overlay.codes_overlay(codes.withColumn("user", F.lit("_")), la)
         sugg = overlay.suggestion_status(sug.withColumn("user", F.lit("_")), la)
         manual = overlay.manual_codes(la).withColumn("pos", F.lit(None).cast("bigint"))
