@@ -49,6 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            # executors on other machines cannot see a local temporary folder
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
         current = tempfile.mkdtemp(prefix="recordfold-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, current)
     spark.sparkContext.setCheckpointDir(current)
