@@ -20,7 +20,9 @@ def q_rule_decode(spark, sf_dir):
     dec = rules.decode_values(ad.rule_conditions(spark, sf_dir))
     return dec.select("rule_id", "ordre", "operateur", "valeur",
                       F.array_join("terms", ",").alias("terms"),
-                      F.coalesce(F.size("terms"), F.lit(0)).cast("bigint").alias("n_terms"))
+                      # size(NULL) is -1 when ANSI mode is off: guard the NULL list
+                      F.when(F.col("terms").isNull(), F.lit(0)).otherwise(F.size("terms"))
+                      .cast("bigint").alias("n_terms"))
 
 
 @register("rule_catalog", with_ctes(["rules", "conds", "comments"], """
