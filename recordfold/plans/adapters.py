@@ -185,6 +185,7 @@ def rule_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.concat(F.lit("c"), _s(k)).alias("id"),
                     F.concat(F.lit("RG-"), _s(k * 37)).alias("rule_id"),
                     F.concat(F.lit("u"), _s(k % 150)).alias("auteur"),
+                    F.lit(None).cast("timestamp_ntz").alias("date"),
                     F.when(k % 9 == 0, F.lit("   ")).otherwise(F.concat(F.lit(" "), F.col("s_name")))
                     .alias("texte"))
 

@@ -98,3 +98,24 @@ def q_suggestion_rule(spark, sf_dir):
                      F.concat(prefix, F.col("l_partkey").cast("string")).alias("regle_id"))
     out = rules.rule_badges(sugg, ad.rule_table(spark, sf_dir))
     return out.select("suggestion_id", "l_partkey", "regle_id", "rule_titre", "rule_code")
+
+
+@register("rule_catalog_nested", with_ctes(["rules", "conds", "comments"], """
+SELECT r.id, coalesce(c.ops, '') AS operateurs, coalesce(c.n, 0) AS n_conditions,
+       CAST(coalesce(c.n_terms, 0) AS BIGINT) AS n_terms, coalesce(m.n, 0) AS n_comments
+FROM rules r
+LEFT JOIN (SELECT rule_id, count(*) AS n,
+                  string_agg(operateur, '|' ORDER BY ordre, operateur) AS ops,
+                  sum(CASE WHEN operateur = 'wordlist' THEN len(coalesce(string_split(valeur, '|'), [])) ELSE 0 END) AS n_terms
+           FROM conds GROUP BY rule_id) c ON c.rule_id = r.id
+LEFT JOIN (SELECT rule_id, count(*) AS n FROM comments GROUP BY rule_id) m ON m.rule_id = r.id"""))
+def q_rule_catalog_nested(spark, sf_dir):
+    """Nested catalogue (J5 as the dictionary returns it): conditions in
+    ``ordre`` order with decoded word lists, and comments, per rule."""
+    cat = rules.catalog_nested(ad.rule_table(spark, sf_dir), ad.rule_conditions(spark, sf_dir),
+                               ad.rule_comments(spark, sf_dir))
+    terms = F.aggregate("parametres", F.lit(0).cast("bigint"),
+                        lambda acc, p: acc + F.when(p["terms"].isNull(), F.lit(0)).otherwise(F.size(p["terms"])))
+    return cat.select("id", F.array_join(F.transform("parametres", lambda p: p["operateur"]), "|").alias("operateurs"),
+                      F.size("parametres").cast("bigint").alias("n_conditions"), terms.alias("n_terms"),
+                      F.size("commentaires").cast("bigint").alias("n_comments"))
