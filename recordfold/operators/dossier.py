@@ -185,7 +185,7 @@ def build_dossiers(t: Mapping[str, DataFrame], latest: DataFrame | None = None)
         la = latest.withColumn("user", F.lit("_"))
         codes = overlay.codes_overlay(codes.withColumn("user", F.lit("_")), la)
         sugg = overlay.suggestion_status(sug.withColumn("user", F.lit("_")), la)
-        manual = overlay.manual_codes(la).withColumn("pos", F.lit(None).cast("bigint"))
+        manual = overlay.manual_codes(la)
     else:
         codes = codes.withColumn("removed", F.coalesce(F.lower(F.trim("removed")).isin(
             "true", "1", "vrai", "oui", "yes"), F.lit(False))).withColumn("manuel", F.lit(False))
@@ -195,10 +195,9 @@ def build_dossiers(t: Mapping[str, DataFrame], latest: DataFrame | None = None)
     code_fields = [F.col("code_id").alias("id"), "code", "type", "libelle", "date", "removed", "manuel"]
     if manual is not None:
         # manual codes come after the clinician's, by item id
-        cpos = F.struct(F.lit(0).alias("m"), F.col("pos").cast("bigint").alias("p"),
-                        F.lit(None).cast("string").alias("i"))
-        mpos = F.struct(F.lit(1).alias("m"), F.lit(None).cast("bigint").alias("p"),
-                        F.col("code_id").alias("i"))
+        pos_t = codes.schema["pos"].dataType
+        cpos = F.struct(F.lit(0).alias("m"), F.col("pos").alias("p"), F.lit(None).cast("string").alias("i"))
+        mpos = F.struct(F.lit(1).alias("m"), F.lit(None).cast(pos_t).alias("p"), F.col("code_id").alias("i"))
         codes = codes.withColumn("_cp", cpos).unionByName(
             manual.select(*k, "code_id", "code", "type", "libelle",
                           F.col("date").cast(codes.schema["date"].dataType).alias("date"),

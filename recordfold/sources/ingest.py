@@ -75,14 +75,39 @@ def drop_unattached(df: DataFrame, table: str) -> DataFrame:
     return df.where(cond)
 
 
-def load_table(spark: SparkSession, base: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """Load one reference table ``<base>/<name>.<fmt>`` the tolerant way."""
-    df = read_tolerant(spark, f"{base.rstrip('/')}/{name}.{fmt}", TABLES[name], fmt)
+def load_table(spark: SparkSession, base: str, name: str, fmt: str = "parquet",
+               position: bool = False) -> DataFrame:
+    """Load one reference table ``<base>/<name>.<fmt>`` the tolerant way.
+
+    With ``position``, a ``pos`` column keeps the row's place in its file
+    (lists in the record follow file order).
+    """
+    path = f"{base.rstrip('/')}/{name}.{fmt}"
+    df = read_tolerant(spark, path, TABLES[name], fmt)
+    if position:
+        df = _positioned(spark, path, TABLES[name], fmt, df)
     return drop_unattached(df, name)
 
 
-def load_all(spark: SparkSession, base: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    return {n: load_table(spark, base, n, fmt) for n in TABLES}
+def _positioned(spark, path, schema, fmt, conformed):
+    """Re-read with the file position: Parquet has a row index per file; other
+    formats fall back to a per-read ordinal (stable for an unchanged listing).
+    An absent source keeps its empty table, with a NULL position."""
+    reader = spark.read.format(fmt)
+    if fmt == "csv":
+        reader = reader.option("header", True).option("inferSchema", False)
+    try:
+        raw = reader.load(path)
+        raw.schema  # noqa: B018
+    except AnalysisException:
+        return conformed.withColumn("pos", F.lit(None).cast("bigint"))
+    if fmt == "parquet":
+        raw = with_position(raw)
+    else:
+        raw = raw.withColumn("pos", F.struct(F.col("_metadata.file_path").alias("_file"),
+                                             F.monotonically_increasing_id().alias("_row")))
+    target = T.StructType(schema.fields + [T.StructField("pos", raw.schema["pos"].dataType)])
+    return conform(raw, target)
 
 
 def with_position(df: DataFrame) -> DataFrame:
