@@ -62,3 +62,12 @@ def test_unicode_regex_folds_accents(spark):
     pat = fs.unicode_regex(r"insuffisance\s+r[ée]nale\s+(aigu[eë]|chronique)", "i")
     r = df.select(F.col("t").rlike(pat), F.lower(F.regexp_extract("t", pat, 1))).first()
     assert tuple(r) == (True, "aiguë")
+
+
+def test_resolve_day_month(spark):
+    import datetime as dt
+    df = spark.createDataFrame([("29/12", dt.date(2024, 12, 28)), ("03/01", dt.date(2024, 12, 28)),
+                                ("15/06", dt.date(2024, 6, 1)), ("31/02", dt.date(2024, 1, 1)),
+                                (None, dt.date(2024, 1, 1))], "dm string, entree date")
+    got = [r[0] for r in df.select(fs.resolve_day_month("dm", "entree")).collect()]
+    assert got == [dt.date(2024, 12, 29), dt.date(2025, 1, 3), dt.date(2024, 6, 15), None, None]
