@@ -12,8 +12,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables abs
 
 
 def _queries():
-    import __spark_entry__ as e
-    return e.queries(), e.oracle_sql()
+    from recordfold.plans.registry import all_oracles, all_queries
+    return all_queries(), all_oracles()
 
 
 QUERIES, ORACLE = _queries()
