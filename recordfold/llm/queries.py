@@ -26,3 +26,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordfold.llm import simhash
     return simhash.near_duplicates(common.documents(spark, sf_dir), shingle=4, max_bits=4) \
         .select("doc_id", "fingerprint", "component_id")
+
+
+@register("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordfold.llm import quality
+    return quality.quality_report(common.documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
