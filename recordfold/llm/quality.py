@@ -155,7 +155,7 @@ def js_distance(p: Column, q: Column) -> Column:
     def term(a: Column, b: Column) -> Column:
         return _let((a + b) / 2, lambda m: half(a, m) + half(b, m))
     parts = F.zip_with(shares(p), shares(q), term)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)))
+    return _let(total(parts), lambda d: F.when(d.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), d))))
 
 
 def judged(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recordfold.llm import common
 
@@ -33,3 +34,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordfold.llm import quality
     return quality.quality_report(common.documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordfold.llm import pii
+    return pii.report(common.documents(spark, sf_dir)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
