@@ -41,3 +41,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordfold.llm import pii
     return pii.report(common.documents(spark, sf_dir)).select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@register("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from recordfold.llm import token_counts
+    return token_counts.token_counts(common.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op8_bpe_codec")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from recordfold.llm import bpe_codec
+    return bpe_codec.digests(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
