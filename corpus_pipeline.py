@@ -2,18 +2,41 @@
 Parquet and reread as the next stage's input."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recordfold.llm import common, simhash
+from recordfold.llm import bpe_codec, common, mixing, pii, quality, simhash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each group stays."""
+    """One document of each group of SimHash near-duplicates stays."""
     return simhash.keep_one(docs, shingle=4, max_bits=4)
 
 
-STAGES = [("simhash_neardup", near_duplicates)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is masked."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mix."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document."""
+    return bpe_codec.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", quality_rules), ("simhash_neardup", near_duplicates), ("pii", personal_data),
+          ("source_mix", mix_sources), ("bpe_codec", encode)]
 
+#: SimHash components and BPE merges can't be said in SQL.
 ORACLE_SQL = None
 
 

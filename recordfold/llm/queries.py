@@ -57,3 +57,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from recordfold.llm import bpe_codec
     return bpe_codec.digests(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op9_source_mix")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordfold.llm import mixing
+    return mixing.positions(common.documents(spark, sf_dir)).select(
+        "doc_id", F.col("src").alias("source"), "block", "slot", "position")
