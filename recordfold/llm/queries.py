@@ -64,3 +64,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordfold.llm import mixing
     return mixing.positions(common.documents(spark, sf_dir)).select(
         "doc_id", F.col("src").alias("source"), "block", "slot", "position")
+
+
+@register("op6_token_records")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from recordfold.llm import records
+    from recordfold.session import scratch_path
+    files, index = scratch_path(spark, "records"), scratch_path(spark, "records-index")
+    records.write_records(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), files, end_id=2)
+    records.write_index(spark, files, index)
+    return records.read_index(spark, index).select("doc_id", "start", "n_tokens", "ids_crc32")
