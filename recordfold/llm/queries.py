@@ -76,3 +76,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     records.write_records(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), files, end_id=2)
     records.write_index(spark, files, index)
     return records.read_index(spark, index).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@register("op1_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordfold.llm import minhash
+    return minhash.with_next(common.documents(spark, sf_dir))
