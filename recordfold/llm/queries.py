@@ -82,3 +82,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordfold.llm import minhash
     return minhash.with_next(common.documents(spark, sf_dir))
+
+
+@register("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordfold.llm import licenses
+    return licenses.scan(common.documents(spark, sf_dir))
