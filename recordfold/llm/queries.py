@@ -88,3 +88,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordfold.llm import licenses
     return licenses.scan(common.documents(spark, sf_dir))
+
+
+@register("op5_lm_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordfold.llm import ngram
+    return ngram.train_and_score(common.documents(spark, sf_dir))
