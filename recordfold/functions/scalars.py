@@ -130,11 +130,14 @@ def clamp(d, lo, hi) -> Column:
 
 def resolve_day_month(dm, entree) -> Column:
     """'DD/MM' text without a year -> DATE in the stay's entry year, or the
-    next year when that would fall before the entry (a stay over New Year)."""
+    next year when that is not a date or falls before the entry (a stay over
+    New Year; 29/02 of a stay that began in the year before a leap year)."""
     parts = F.split(_c(dm), "/")
-    txt = F.concat_ws("-", F.year(_c(entree)).cast("string"), parts.getItem(1), parts.getItem(0))
-    d = F.try_to_timestamp(txt, F.lit("yyyy-M-d")).cast("date")
-    return F.when(d < _c(entree), F.add_months(d, 12)).otherwise(d)
+
+    def in_year(offset: int) -> Column:
+        year = (F.year(_c(entree)) + offset).cast("string")
+        return F.try_to_timestamp(F.concat_ws("-", year, F.get(parts, 1), F.get(parts, 0)), F.lit("yyyy-M-d")).cast("date")
+    return F.coalesce(F.when(in_year(0) >= _c(entree), in_year(0)), in_year(1))
 
 
 def date_text(ts) -> Column:

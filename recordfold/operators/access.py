@@ -45,6 +45,29 @@ def patient_list(patients: DataFrame, visible: DataFrame) -> DataFrame:
     return rows.select("username", "patient_id", F.col("pos").alias("patient_pos"))
 
 
+def patient_list_for(patients: DataFrame, visible: DataFrame, accounts: DataFrame, user: str) -> DataFrame:
+    """One user's patients with their position: an admin gets the whole patient
+    table, a reviewer the assigned ones, an unknown user none."""
+    role = accounts.where(F.col("username") == user).select("role").limit(1)
+    admin = role.where(F.col("role") == ADMIN).select(F.lit(True).alias("_all"))
+    mine = visible.where((F.col("username") == user) & (F.col("scope") == "assigned")) \
+        .select("patient_id", F.lit(True).alias("_mine")).distinct()
+    rows = patients.select("patient_id", F.col("pos").alias("patient_pos"), F.lit(True).alias("_k"))
+    flag = admin.select(F.col("_all").alias("_k"), F.lit(True).alias("_admin"))
+    return rows.join(mine, "patient_id", "left").join(flag, "_k", "left") \
+        .where(F.coalesce("_mine", "_admin", F.lit(False))).select("patient_id", "patient_pos")
+
+
+def account_list(accounts: DataFrame) -> DataFrame:
+    """Accounts ordered by name, each with its place in that order.
+
+    The place is counted range by range (no single sorting task): accounts of
+    smaller first characters, then the place among those of the same."""
+    from recordfold.operators.positional import positional_index
+    return positional_index(accounts.select("username", "role"), [F.lit(0)], ["username"],
+                            bucket=F.substring("username", 1, 2), name="place").orderBy("place")
+
+
 def patient_count(accounts: DataFrame, assignments: DataFrame) -> DataFrame:
     """Assigned-patient count per account (zero stays zero) and its label."""
     n = assignments.groupBy("username").agg(F.count("patient_id").alias("n_patients"))

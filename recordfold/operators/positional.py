@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def positional_index(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
+def positional_index(df: DataFrame, group: Sequence[Column | str], order: Sequence[Column | str],
                      bucket: Column | None = None, name: str = "idx") -> DataFrame:
     """Add ``name`` = 0-based position of each row within ``group`` by ``order``.
 
@@ -30,10 +30,10 @@ def positional_index(df: DataFrame, group: Sequence[str], order: Sequence[Column
     if bucket is None:
         w = Window.partitionBy(*group).orderBy(*order_cols)
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
-    # One struct key: a NULL member still makes a non-NULL key, so rows whose
-    # group has a NULL member are numbered like any other group.
+    # Struct keys: a NULL member still makes a non-NULL key, so rows whose group
+    # or bucket is NULL are numbered like any other (a NULL bucket comes first).
     g, b = "_pos_group", "_pos_bucket"
-    x = df.withColumn(g, F.struct(*group)).withColumn(b, bucket)
+    x = df.withColumn(g, F.struct(*group)).withColumn(b, F.struct(bucket.alias("b")))
     w_local = Window.partitionBy(g, b).orderBy(*order_cols)
     local = x.withColumn("_pos_local", (F.row_number().over(w_local) - 1).cast("bigint"))
     counts = x.groupBy(g, b).agg(F.count(F.lit(1)).alias("_pos_n"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordfold.functions.scalars import strip_ws
+
 WORDLIST = "wordlist"
 
 
@@ -50,8 +52,10 @@ def catalog_nested(rules: DataFrame, conditions: DataFrame, comments: DataFrame)
     c = dec.groupBy("rule_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct(key.alias("k"), cond.alias("c")))), lambda x: x["c"])
         .alias("parametres"))
-    m = comments.groupBy("rule_id").agg(F.collect_list(F.struct("id", "auteur", "date", "texte"))
-                                        .alias("commentaires"))
+    # comments by date, then id (undated ones first)
+    m = comments.groupBy("rule_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.struct("date", "id").alias("k"), F.struct(
+            "id", "auteur", "date", "texte").alias("c")))), lambda x: x["c"]).alias("commentaires"))
     out = (rules.join(c.withColumnRenamed("rule_id", "id"), "id", "left")
            .join(m.withColumnRenamed("rule_id", "id"), "id", "left"))
     return (out.withColumn("parametres", F.coalesce("parametres", F.array()))
@@ -69,12 +73,22 @@ def search(rules: DataFrame, query: str) -> DataFrame:
 PATCHABLE = ("titre", "logique", "description")
 
 
+def fold_patches(patches: DataFrame, order: str = "pos") -> DataFrame:
+    """One patch per rule: each field's last non-NULL value in ``order``
+    (without such a column, the greatest value)."""
+    at = F.col(order) if order in patches.columns else None
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.lit(0) if at is None else at, c))).alias(c)
+            for c in PATCHABLE]
+    return patches.groupBy("id").agg(*last)
+
+
 def patch(rules: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply partial updates (NULL field = unchanged).  Returns the updated
-    rules (with ``status`` 'patched'/'unchanged') and the patches whose rule
-    id is unknown (the error set)."""
-    p = patches.select(F.col("id"), *[F.col(c).alias(f"_new_{c}") for c in PATCHABLE],
-                       F.lit(True).alias("_hit"))
+    """Apply partial updates (NULL field = unchanged); several patches of one
+    rule are folded first, so a rule stays one row.  Returns the updated rules
+    (with ``status`` 'patched'/'unchanged') and the patches whose rule id is
+    unknown (the error set)."""
+    p = fold_patches(patches).select(F.col("id"), *[F.col(c).alias(f"_new_{c}") for c in PATCHABLE],
+                                     F.lit(True).alias("_hit"))
     j = rules.join(p, "id", "left")
     for c in PATCHABLE:
         j = j.withColumn(c, F.coalesce(F.col(f"_new_{c}"), F.col(c)))
@@ -85,11 +99,22 @@ def patch(rules: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def replace_conditions(conditions: DataFrame, new_conditions: DataFrame,
-                       rules: DataFrame) -> DataFrame:
+                       rules: DataFrame, cleared: DataFrame | None = None) -> DataFrame:
     """A rule's conditions are replaced as a whole by its new ones; new
-    conditions of unknown rules are ignored (the update is refused)."""
+    conditions of unknown rules are ignored (the update is refused).
+
+    With a column ``edit`` in ``new_conditions``, only a rule's last edit
+    counts.  ``cleared`` (rule_id) names rules replaced by an empty list: they
+    lose all their conditions."""
     known_new = new_conditions.join(rules.select(F.col("id").alias("rule_id")), "rule_id", "left_semi")
-    kept = conditions.join(known_new.select("rule_id").distinct(), "rule_id", "left_anti")
+    if "edit" in new_conditions.columns:
+        last = known_new.groupBy("rule_id").agg(F.max("edit").alias("edit"))
+        known_new = known_new.join(last, ["rule_id", "edit"], "left_semi").drop("edit")
+    replaced = known_new.select("rule_id")
+    if cleared is not None:
+        replaced = replaced.union(cleared.select("rule_id"))
+        known_new = known_new.join(cleared.select("rule_id"), "rule_id", "left_anti")
+    kept = conditions.join(replaced.distinct(), "rule_id", "left_anti")
     return (kept.withColumn("origin", F.lit("kept"))
             .unionByName(known_new.withColumn("origin", F.lit("new"))))
 
@@ -98,7 +123,7 @@ def accept_comments(comments: DataFrame, rules: DataFrame) -> DataFrame:
     """Validate incoming comments: text trimmed; rejected if empty or if the
     rule does not exist.  ``reason`` is 'ok', 'empty' or 'unknown_rule'."""
     known = rules.select(F.col("id").alias("rule_id"), F.lit(True).alias("_known")).distinct()
-    j = comments.withColumn("texte", F.trim("texte")).join(known, "rule_id", "left")
+    j = comments.withColumn("texte", strip_ws("texte")).join(known, "rule_id", "left")
     empty = F.col("texte").isNull() | (F.col("texte") == "")
     reason = (F.when(empty, "empty").when(F.col("_known").isNull(), "unknown_rule").otherwise("ok"))
     return j.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "ok").drop("_known")

@@ -37,6 +37,8 @@ def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     item_id, action, code, libelle, type_code, commentaire)."""
     e = _event_item(spark, sf_dir)
     k, et, v = F.col("k"), F.col("event_type"), F.col("value")
+    # three neighbouring reviewers share ten customers; each customer has ten orders
+    patient = (F.col("user_id") - F.col("user_id") % 3) * 10 + k % 10
     manual = k >= 90
     item_type = (F.when(manual, "manuel").when(k % 2 == 0, "suggestion").otherwise("code_valide"))
     action = (F.when(et == "view", F.when(manual, "ajouté").otherwise("validé"))
@@ -48,11 +50,12 @@ def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.concat(F.lit("C"), _s(F.floor(v).cast("bigint"))))
     libelle = F.when(et == "signup", F.concat(F.lit("lib "), _s("event_id")))
     type_code = F.when(et == "signup", F.when(v < 100, "CCAM").otherwise("CIM-10"))
-    comment = F.when(v > 400, F.concat(F.lit("note "), _s("event_id")))
+    # free text with a line break, quotes, a backslash and blanks around it
+    comment = F.when(v > 400, F.concat(F.lit(" note "), _s("event_id"), F.lit('\n "b\\s", ')))
     return e.select(
         F.col("ts").alias("timestamp"), F.col("event_id").alias("seq"),
         F.concat(F.lit("u"), _s("user_id")).alias("user"),
-        _s((k % 20) * 29).alias("patient_id"), _s((k % 40) * 13).alias("id_sejour"),
+        _s(patient).alias("patient_id"), _s(patient * 10 + F.floor(k / 10)).alias("id_sejour"),
         item_type.alias("item_type"), _s(k).alias("item_id"), action.alias("action"),
         code.alias("code"), libelle.alias("libelle"), type_code.alias("type_code"),
         comment.alias("commentaire"), "user_id", "event_type", "k")
@@ -186,18 +189,23 @@ def rule_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("RG-"), _s(k * 37)).alias("rule_id"),
                     F.concat(F.lit("u"), _s(k % 150)).alias("auteur"),
                     F.lit(None).cast("timestamp_ntz").alias("date"),
-                    F.when(k % 9 == 0, F.lit("   ")).otherwise(F.concat(F.lit(" "), F.col("s_name")))
+                    F.when(k % 18 == 0, F.lit("\t\n")).when(k % 9 == 0, F.lit("   "))
+                    .otherwise(F.concat(F.lit(" "), F.col("s_name"), F.lit("\n")))
                     .alias("texte"))
 
 
 def rule_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier -> partial updates of rule 'RG-<23*suppkey>'."""
+    """supplier -> partial updates of rule 'RG-<23*suppkey>'; every fifth is
+    followed by a second patch of the same rule."""
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
-    return s.select(F.concat(F.lit("RG-"), _s(k * 23)).alias("id"),
-                    F.when(k % 2 == 0, F.col("s_name")).alias("titre"),
-                    F.when(k % 3 == 0, F.concat(F.lit("SI "), F.col("s_name"))).alias("logique"),
-                    F.lit(None).cast("string").alias("description"))
+    x = s.select(k, "s_name", F.explode(F.when(k % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("pos"))
+    first = F.col("pos") == 0
+    return x.select(F.concat(F.lit("RG-"), _s(k * 23)).alias("id"), "pos",
+                    F.when(first & (k % 2 == 0), F.col("s_name"))
+                    .when(~first & (k % 4 == 0), F.concat(F.lit("again "), F.col("s_name"))).alias("titre"),
+                    F.when(first & (k % 3 == 0), F.concat(F.lit("SI "), F.col("s_name"))).alias("logique"),
+                    F.when(~first, F.lit("second")).alias("description"))
 
 
 def new_rule_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,8 @@ FROM events""")
 
 cte("log", """
 SELECT ts AS "timestamp", event_id AS seq, 'u' || CAST(user_id AS VARCHAR) AS "user",
-       CAST((k % 20) * 29 AS VARCHAR) AS patient_id, CAST((k % 40) * 13 AS VARCHAR) AS id_sejour,
+       CAST((user_id - user_id % 3) * 10 + k % 10 AS VARCHAR) AS patient_id,
+       CAST(((user_id - user_id % 3) * 10 + k % 10) * 10 + k // 10 AS VARCHAR) AS id_sejour,
        CASE WHEN k >= 90 THEN 'manuel' WHEN k % 2 = 0 THEN 'suggestion' ELSE 'code_valide' END AS item_type,
        CAST(k AS VARCHAR) AS item_id,
        CASE WHEN event_type = 'view' THEN CASE WHEN k >= 90 THEN 'ajouté' ELSE 'validé' END
@@ -48,7 +49,7 @@ SELECT ts AS "timestamp", event_id AS seq, 'u' || CAST(user_id AS VARCHAR) AS "u
             THEN 'C' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS code,
        CASE WHEN event_type = 'signup' THEN 'lib ' || CAST(event_id AS VARCHAR) END AS libelle,
        CASE WHEN event_type = 'signup' THEN CASE WHEN value < 100 THEN 'CCAM' ELSE 'CIM-10' END END AS type_code,
-       CASE WHEN value > 400 THEN 'note ' || CAST(event_id AS VARCHAR) END AS commentaire,
+       CASE WHEN value > 400 THEN ' note ' || CAST(event_id AS VARCHAR) || chr(10) || ' "b' || chr(92) || 's", ' END AS commentaire,
        user_id, event_type, k
 FROM ev""", ["ev"])
 
@@ -129,13 +130,24 @@ FROM lineitem""")
 cte("comments", """
 SELECT 'c' || CAST(s_suppkey AS VARCHAR) AS id, 'RG-' || CAST(s_suppkey * 37 AS VARCHAR) AS rule_id,
        'u' || CAST(s_suppkey % 150 AS VARCHAR) AS auteur,
-       CASE WHEN s_suppkey % 9 = 0 THEN '   ' ELSE ' ' || s_name END AS texte
+       CASE WHEN s_suppkey % 18 = 0 THEN chr(9) || chr(10) WHEN s_suppkey % 9 = 0 THEN '   '
+            ELSE ' ' || s_name || chr(10) END AS texte
 FROM supplier""")
 
 cte("patches", """
-SELECT 'RG-' || CAST(s_suppkey * 23 AS VARCHAR) AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS titre,
+SELECT 'RG-' || CAST(s_suppkey * 23 AS VARCHAR) AS id, 0 AS pos, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS titre,
        CASE WHEN s_suppkey % 3 = 0 THEN 'SI ' || s_name END AS logique, CAST(NULL AS VARCHAR) AS description
-FROM supplier""")
+FROM supplier
+UNION ALL
+SELECT 'RG-' || CAST(s_suppkey * 23 AS VARCHAR), 1, CASE WHEN s_suppkey % 4 = 0 THEN 'again ' || s_name END,
+       CAST(NULL AS VARCHAR), 'second'
+FROM supplier WHERE s_suppkey % 5 = 0""")
+
+cte("patch1", """
+SELECT id, arg_max(titre, pos) FILTER (WHERE titre IS NOT NULL) AS titre,
+       arg_max(logique, pos) FILTER (WHERE logique IS NOT NULL) AS logique,
+       arg_max(description, pos) FILTER (WHERE description IS NOT NULL) AS description
+FROM patches GROUP BY id""", ["patches"])
 
 cte("new_conds", """
 SELECT 'RG-' || CAST(s_suppkey * 23 AS VARCHAR) AS rule_id, o AS ordre,

@@ -7,7 +7,7 @@ from recordfold.functions import scalars as fs
 from recordfold.operators import access, scope
 from recordfold.plans import adapters as ad
 from recordfold.plans.oracle import with_ctes
-from recordfold.plans.queries import TS_SQL, register, ts_text
+from recordfold.plans.queries import ORACLE, TS_SQL, register, ts_text
 from recordfold.schemas import ANNOTATIONS, TABLES
 from recordfold.session import scratch_path
 from recordfold.sources import decisions, ingest
@@ -263,3 +263,76 @@ def q_patient_list(spark, sf_dir):
     vis = access.visible_patients(ad.accounts(spark, sf_dir), _assign(spark, sf_dir),
                                   ad.patients(spark, sf_dir))
     return access.patient_list(ad.patients(spark, sf_dir), vis)
+
+
+@register("account_list", with_ctes(["accounts"], """
+SELECT username, role, row_number() OVER (ORDER BY username) - 1 AS place FROM accounts"""))
+def q_account_list(spark, sf_dir):
+    """Accounts in name order with their place in it."""
+    return access.account_list(ad.accounts(spark, sf_dir)).select("username", "role", "place")
+
+
+@register("patient_list_admin", with_ctes(["accounts", "patients"], """
+SELECT c.username, p.patient_id, p.pos AS patient_pos
+FROM patients p, (SELECT min(username) AS username FROM accounts WHERE role = 'admin') c"""))
+def q_patient_list_admin(spark, sf_dir):
+    """The first admin's patient list: the whole patient table."""
+    accounts = ad.accounts(spark, sf_dir)
+    admin = access.account_stats(accounts).first()["first_admin"] or ""
+    visible = access.visible_patients(accounts, _assign(spark, sf_dir), ad.patients(spark, sf_dir))
+    rows = access.patient_list_for(ad.patients(spark, sf_dir), visible, accounts, admin)
+    return rows.select(F.lit(admin).alias("username"), "patient_id", "patient_pos")
+
+
+@register("load_typed", """
+SELECT o_orderkey,
+       CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey % 100 END AS confiance_double,
+       CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey % 100 END AS confiance_text,
+       CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey % 100 END AS confiance_int,
+       CASE WHEN o_orderkey % 5 <> 0 THEN CAST(60 + o_orderkey % 40 AS VARCHAR) END AS fc_double,
+       (o_orderkey % 3 = 1) AS removed_double, (o_orderkey % 3 = 1) AS removed_text,
+       (o_orderkey % 3 = 1) AS removed_bool
+FROM orders""")
+def q_load_typed(spark, sf_dir):
+    """Integer and truth columns stored as doubles with gaps, as text, as
+    integers and as booleans, through the tolerant load."""
+    from pyspark.sql import types as T
+
+    from recordfold.functions.scalars import safe_bool, safe_int
+    from recordfold.schemas import TABLES
+    from recordfold.sources.ingest import conform
+    o = ad.table(spark, sf_dir, "orders").select("o_orderkey")
+    k, key = F.col("o_orderkey"), T.StructField("o_orderkey", T.LongType())
+    sugg = T.StructType([key, TABLES["suggestions"]["confiance"]])
+    code = T.StructType([key, TABLES["codes_valides"]["removed"]])
+    vital = T.StructType([key, TABLES["constantes"]["fc"]])
+    number, truth = F.when(k % 7 != 0, k % 100), F.when(k % 3 != 2, k % 3)
+    out = o
+    for name, c in (("double", number.cast("double")), ("text", F.coalesce(number.cast("string"), F.lit("n/a"))),
+                    ("int", number.cast("int"))):
+        x = conform(o.withColumn("confiance", c), sugg)
+        out = out.join(x.select(k, safe_int("confiance", T.StringType()).alias(f"confiance_{name}")), "o_orderkey")
+    x = conform(o.withColumn("fc", F.when(k % 5 != 0, 60.0 + k % 40)), vital)
+    out = out.join(x.select(k, safe_int("fc", T.StringType(), None).cast("string").alias("fc_double")), "o_orderkey")
+    for name, c in (("double", truth.cast("double")), ("text", F.when(truth == 1, "Vrai").otherwise("non")),
+                    ("bool", truth == 1)):
+        x = conform(o.withColumn("removed", c), code)
+        out = out.join(x.select(k, safe_bool("removed", T.StringType()).alias(f"removed_{name}")), "o_orderkey")
+    return out
+
+
+@register("import_reviewer_logs", ORACLE["latest_actions"])
+def q_import_reviewer_logs(spark, sf_dir):
+    """Write the log as one CSV per reviewer with offset timestamps, doubled
+    quotes and no ``seq``, read the files back and fold them."""
+    from recordfold.operators.overlay import latest_actions
+    root = scratch_path(spark, "reviewer-logs")
+    log = ad.decision_log(spark, sf_dir)
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS+00:00")
+    cols = [c for c in decisions.COLUMNS if c not in ("seq", "timestamp")]
+    (log.select(stamp.alias("timestamp"), *cols, F.col("user").alias("reviewer"), "seq")
+     .repartition("reviewer").sortWithinPartitions("reviewer", "timestamp", "seq").drop("seq")
+     .write.partitionBy("reviewer").options(**decisions.CSV_OPTIONS).csv(root))
+    la = latest_actions(decisions.read_reviewer_files(spark, f"{root}/reviewer=*"))
+    return la.select("user", "patient_id", "id_sejour", "item_id", ts_text("timestamp").alias("last_ts"),
+                     "item_type", "action", "code", "libelle", "type_code", "commentaire")

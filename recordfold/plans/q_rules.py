@@ -46,11 +46,11 @@ def q_rule_search(spark, sf_dir):
     return rules.search(ad.rule_table(spark, sf_dir), RULE_QUERY).select("id", "code", "titre")
 
 
-@register("rule_patch", with_ctes(["rules", "patches"], """
+@register("rule_patch", with_ctes(["rules", "patches", "patch1"], """
 SELECT r.id, coalesce(p.titre, r.titre) AS titre, coalesce(p.logique, r.logique) AS logique,
        coalesce(p.description, r.description) AS description,
        CASE WHEN p.id IS NOT NULL THEN 'patched' ELSE 'unchanged' END AS status
-FROM rules r LEFT JOIN patches p ON p.id = r.id
+FROM rules r LEFT JOIN patch1 p ON p.id = r.id
 UNION ALL
 SELECT p.id, p.titre, p.logique, p.description, 'unknown' AS status
 FROM patches p WHERE p.id NOT IN (SELECT id FROM rules)"""))
@@ -74,11 +74,11 @@ def q_params_replace(spark, sf_dir):
 
 
 @register("comment_accept", with_ctes(["rules", "comments"], """
-SELECT c.id, c.rule_id, trim(c.texte) AS texte,
-       CASE WHEN trim(c.texte) = '' OR c.texte IS NULL THEN 'empty'
+SELECT c.id, c.rule_id, c.t AS texte,
+       CASE WHEN c.t = '' OR c.t IS NULL THEN 'empty'
             WHEN c.rule_id NOT IN (SELECT id FROM rules) THEN 'unknown_rule' ELSE 'ok' END AS reason,
-       (trim(c.texte) <> '' AND c.rule_id IN (SELECT id FROM rules)) AS accepted
-FROM comments c"""))
+       (c.t <> '' AND c.rule_id IN (SELECT id FROM rules)) AS accepted
+FROM (SELECT *, regexp_replace(texte, '^\\s+|\\s+$', '', 'g') AS t FROM comments) c"""))
 def q_comment_accept(spark, sf_dir):
     out = rules.accept_comments(ad.rule_comments(spark, sf_dir), ad.rule_table(spark, sf_dir))
     return out.select("id", "rule_id", "texte", "reason", "accepted")

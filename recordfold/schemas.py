@@ -55,6 +55,11 @@ RULE_OUTPUTS = _st(("rule_id", S), ("mode", S), ("key", S), ("code", S), ("rank"
 ACCOUNTS = _st(("username", S), ("role", S))
 ASSIGNMENTS = _st(("username", S), ("patient_id", S), ("pos", I))
 
+# Text columns that hold an integer or a truth value: numeric sources are read
+# as such before they become text.
+INT_TEXT = {"confiance", "fc"}
+BOOL_TEXT = {"removed"}
+
 # Tables whose rows may belong to a patient but to no stay.
 ALLOW_MISSING_STAY = {"documents", "fiches", "observations"}
 

@@ -1,19 +1,23 @@
-"""The decision log on storage: append-only, one folder per write batch and
-per reviewer.
-
-Layout ``<root>/batch=<id>/user=<name>/part-*.csv`` (Hive-style partitioning
-on the exact user name).  A batch only ever (over)writes its own folder, so a
-retried batch -- e.g. a streaming micro-batch replayed after a lost executor --
-replaces its earlier output instead of duplicating it.  Reading one reviewer's
-log prunes to their folders; reading everybody's is one directory scan with an
-explicit schema.
+"""The decision log on storage: append-only, one folder per write batch, cut
+by a fixed hash bucket of the reviewer.
+
+Layout ``<root>/batch=<id>/bucket=<b>/part-*.csv``.  A batch only ever
+(over)writes its own folder, so a retried batch -- e.g. a streaming micro-batch
+replayed after a lost executor -- replaces its earlier output instead of
+duplicating it; batch names of different writers never meet (streams use their
+query id).  A batch has files by bucket, not by reviewer, so many reviewers do
+not become many small files, and reading one reviewer's log prunes to their
+bucket.  ``compact`` rewrites many batches as one.
+
+Text is RFC 4180 CSV: quotes are doubled, and free text may hold line breaks,
+quotes, backslashes and surrounding blanks.
 """
 from __future__ import annotations
 
-import time
+import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,25 +25,28 @@ from recordfold.schemas import ANNOTATIONS
 from recordfold.sources.ingest import empty
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-CSV_OPTIONS = {"header": "true", "timestampNTZFormat": TS_FORMAT, "emptyValue": ""}
+CSV_OPTIONS = {"header": "true", "timestampNTZFormat": TS_FORMAT, "emptyValue": "", "quote": '"', "escape": '"',
+               "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+BUCKETS = 16
 
+COLUMNS = [f.name for f in ANNOTATIONS.fields]
+READ_SCHEMA = T.StructType(ANNOTATIONS.fields + [T.StructField("batch", T.StringType(), True),
+                                                 T.StructField("bucket", T.IntegerType(), True)])
 
-READ_SCHEMA = T.StructType(ANNOTATIONS.fields + [T.StructField("batch", T.LongType(), True)])
 
+def bucket_of(user: Column) -> Column:
+    return F.pmod(F.xxhash64(user), F.lit(BUCKETS)).cast("int")
 
-def append_decisions(decisions: DataFrame, root: str, batch_id: int | None = None) -> None:
+
+def append_decisions(decisions: DataFrame, root: str, batch_id: str | int | None = None) -> None:
     """Append decisions (ANNOTATIONS columns) to the log under ``root`` as one
     batch; writing the same ``batch_id`` again replaces that batch."""
     if batch_id is None:
-        batch_id = time.time_ns()
-    cols = [f.name for f in ANNOTATIONS.fields]
-    # Range-partition on (user, seq): a reviewer's rows land in one task (one
-    # file per reviewer and batch) unless they are many, in which case the
-    # range boundaries split that reviewer across tasks -- no task holds a hot
-    # reviewer whole, and small reviewers do not scatter into many tiny files.
-    n = int(decisions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (decisions.select(*cols).repartitionByRange(n, "user", "seq")
-     .write.mode("overwrite").partitionBy("user")
+        batch_id = uuid.uuid4().hex
+    # rebalance: rows of a bucket come together, and AQE cuts a large bucket (a
+    # hot reviewer) into several tasks and files
+    (decisions.select(*COLUMNS, bucket_of(F.col("user")).alias("bucket")).hint("rebalance", "bucket")
+     .write.mode("overwrite").partitionBy("bucket")
      .options(**CSV_OPTIONS).csv(f"{root.rstrip('/')}/batch={batch_id}"))
 
 
@@ -49,20 +56,50 @@ def stamp_now(decisions: DataFrame) -> DataFrame:
     return decisions.withColumn("timestamp", now)
 
 
-def read_all_decisions(spark: SparkSession, root: str) -> DataFrame:
-    """Every reviewer's log as one table; absent log -> empty table."""
-    cols = [f.name for f in ANNOTATIONS.fields]
+def _read(spark: SparkSession, root: str) -> DataFrame:
     try:
-        return spark.read.schema(READ_SCHEMA).options(**CSV_OPTIONS).csv(root).select(*cols)
+        return spark.read.schema(READ_SCHEMA).options(**CSV_OPTIONS).csv(root)
     except AnalysisException:  # absent root: nothing written yet
-        return empty(spark, ANNOTATIONS)
+        return empty(spark, READ_SCHEMA)
+
+
+def read_all_decisions(spark: SparkSession, root: str) -> DataFrame:
+    """Every reviewer's log as one table; absent log -> empty table."""
+    return _read(spark, root).select(*COLUMNS)
 
 
 def read_user_decisions(spark: SparkSession, root: str, user: str) -> DataFrame:
-    """One reviewer's log (partition-pruned to ``user=<name>``)."""
-    return read_all_decisions(spark, root).where(F.col("user") == user)
+    """One reviewer's log (partition-pruned to their bucket)."""
+    rows = _read(spark, root)
+    return rows.where((F.col("bucket") == bucket_of(F.lit(user))) & (F.col("user") == user)).select(*COLUMNS)
+
+
+def compact(spark: SparkSession, root: str, target: str) -> None:
+    """Rewrite all batches under ``root`` as one batch under ``target`` (a new root)."""
+    append_decisions(read_all_decisions(spark, root), target)
 
 
 def export_csv(decisions: DataFrame, path: str) -> None:
     """Write the consolidated log as CSV with a header (one folder)."""
     decisions.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+
+
+# ---------------------------------------------------- logs of a file per reviewer
+
+def read_reviewer_files(spark: SparkSession, path: str) -> DataFrame:
+    """Logs kept as one CSV file per reviewer: a header, timestamps with a zone
+    offset, doubled quotes, no ``seq``.  The append order is the line order of a
+    file: a file is parsed whole by one task, so the row number inside its
+    partition follows it, and ``seq`` is that number.
+
+    Timestamps become UTC without a zone.  Missing columns are NULL, as is a
+    timestamp that can't be read."""
+    names = [c for c in COLUMNS if c != "seq"]
+    # columns by name: every file's header is its own
+    lines = spark.read.option("header", "true").option("inferSchema", "false").option("enforceSchema", "false") \
+        .options(**{k: v for k, v in CSV_OPTIONS.items() if k not in ("header", "timestampNTZFormat")}).csv(path)
+    have = set(lines.columns)
+    cols = [(F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in names]
+    rows = lines.select(*cols, F.monotonically_increasing_id().alias("seq"))
+    stamp = F.to_utc_timestamp(F.try_to_timestamp("timestamp"), F.current_timezone()).cast("timestamp_ntz")
+    return rows.withColumn("timestamp", stamp).select(*COLUMNS)

@@ -11,16 +11,20 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordfold.functions.scalars import id_string, nan_to_null
-from recordfold.schemas import ALLOW_MISSING_STAY, TABLES, is_id_column
+from recordfold.functions.scalars import id_string, nan_to_null, safe_bool, safe_int
+from recordfold.schemas import ALLOW_MISSING_STAY, BOOL_TEXT, INT_TEXT, TABLES, is_id_column
 
 log = logging.getLogger(__name__)
 
+#: What an absent path or a damaged footer raises when a source is opened.
+UNREADABLE = (AnalysisException, PySparkException, Py4JJavaError)
+
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
@@ -41,8 +45,8 @@ def read_tolerant(spark: SparkSession, path: str, schema: T.StructType, fmt: str
     try:
         df = reader.load(path)
         df.schema  # noqa: B018  (forces file listing / footer read)
-    except AnalysisException as e:
-        log.warning("%s unreadable or absent (%s): empty table", path, e.getCondition())
+    except UNREADABLE as e:
+        log.warning("%s unreadable or absent (%s): empty table", path, type(e).__name__)
         return empty(spark, schema)
     return conform(df, schema)
 
@@ -61,6 +65,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
             else F.col(f.name)
         if is_id_column(f.name):
             c = id_string(F.col(f.name), src_t)
+        elif f.name in INT_TEXT and not isinstance(src_t, T.StringType):
+            # read as a number first: 85.0 is 85, not the unparsable text '85.0'
+            c = F.when(c.isNotNull(), safe_int(F.col(f.name), src_t, None)).cast("string")
+        elif f.name in BOOL_TEXT and not isinstance(src_t, T.StringType):
+            c = F.when(c.isNotNull(), safe_bool(F.col(f.name), src_t)).cast("string")
         elif src_t != f.dataType:
             c = c.try_cast(f.dataType) if not isinstance(f.dataType, T.StringType) else c.cast("string")
         cols.append(c.alias(f.name))
@@ -99,7 +108,7 @@ def _positioned(spark, path, schema, fmt, conformed):
     try:
         raw = reader.load(path)
         raw.schema  # noqa: B018
-    except AnalysisException:
+    except UNREADABLE:
         return conformed.withColumn("pos", F.lit(None).cast("bigint"))
     if fmt == "parquet":
         raw = with_position(raw)

@@ -8,6 +8,8 @@ a failed job leaves the previous version intact.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,7 +83,8 @@ NAMES = {"rules": RULES, "rules_parametres": RULE_PARAMS, "rules_commentaires":
 
 def builtin_tables(spark: SparkSession) -> dict[str, DataFrame]:
     """The seed catalogue as DataFrames (rules, conditions, outputs, no comments)."""
-    rules = [(i, t, c, f"{c}: {t}", code, lib, ty, None) for i, t, c, code, lib, ty in BUILTIN_RULES]
+    # the seed has no stored logic or description text: both stay NULL until edited
+    rules = [(i, t, c, None, code, lib, ty, None) for i, t, c, code, lib, ty in BUILTIN_RULES]
     return {
         "rules": spark.createDataFrame(rules, RULES),
         "rules_parametres": spark.createDataFrame(BUILTIN_CONDITIONS, RULE_PARAMS),
@@ -102,23 +105,25 @@ def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
         df.schema  # noqa: B018
     except AnalysisException:
         return empty(spark, schema)
-    top = df.agg(F.max("v").alias("_v"))
-    return conform(df.join(top, df.v == top._v, "left_semi"), schema)
+    # the version is a folder: its number is known before any row is read
+    return conform(df.where(F.col("v") == current_version(spark, root, name)), schema)
 
 
 def save_version(df: DataFrame, root: str, name: str, version: int) -> None:
-    """Write ``df`` as version ``version`` of a table (append; older versions stay)."""
+    """Write ``df`` as version ``version`` of a table (older versions stay).  A
+    version is written once: a second edit of it fails instead of merging."""
     cols = [f.name for f in NAMES[name].fields]
-    df.select(*cols, F.lit(version).alias("v")).write.mode("append").partitionBy("v") \
-        .parquet(_path(root, name))
+    df.select(*cols).write.mode("errorifexists").parquet(f"{_path(root, name)}/v={version}")
 
 
 def current_version(spark: SparkSession, root: str, name: str) -> int:
+    """Highest version folder of a table, 0 without one (no row is read)."""
     try:
-        row = spark.read.parquet(_path(root, name)).agg(F.max("v")).first()
+        files = spark.read.parquet(_path(root, name)).inputFiles()
     except AnalysisException:
         return 0
-    return int(row[0]) if row and row[0] is not None else 0
+    found = [re.search(r"/v=(\d+)/", f) for f in files]
+    return max((int(m[1]) for m in found if m), default=0)
 
 
 def ensure_initialized(spark: SparkSession, root: str) -> None:
@@ -135,6 +140,8 @@ def load_rule_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def append_comments(comments: DataFrame, root: str, spark: SparkSession) -> None:
-    """Append accepted comments (same version as the current rules)."""
-    v = max(current_version(spark, root, "rules_commentaires"), 1)
-    save_version(comments, root, "rules_commentaires", v)
+    """Add accepted comments as the next version of the comment table."""
+    v = current_version(spark, root, "rules_commentaires")
+    before = read_current(spark, root, "rules_commentaires")
+    cols = [f.name for f in RULE_COMMENTS.fields]
+    save_version(before.select(*cols).unionByName(comments.select(*cols)), root, "rules_commentaires", v + 1)

@@ -1,15 +1,20 @@
 """Structured Streaming for the decision log.
 
 T1 ``ingest_decisions``: decision files dropped in an inbox are appended to
-the per-reviewer log (``partitionBy('user')``), exactly once through the
-query's checkpoint.
+the log, exactly once through the query's checkpoint.
 
 T2 ``maintain_latest``: the last action per item, maintained as a streaming
-aggregate (same skip-NULL ``max_by`` fold as the batch operator) in update
-mode.  Each micro-batch's changed keys are appended to a state table with
-their batch id; the current state of a key is its row from the highest batch
-(``read_latest_state``).  There is no watermark on purpose: any old item can
+aggregate (the same skip-NULL fold as the batch operator) in update mode.  Each
+micro-batch's changed keys are appended to a state table.  A state row keeps,
+for every value, the order key it was chosen by, so rows of any number of
+batches, and of any number of queries over the same state, fold to the same
+result as the whole log (``read_latest_state``); ``compact_state`` rewrites
+them as one row per item.  There is no watermark on purpose: any old item can
 still be revised, so the state is unbounded -- it holds one row per item.
+
+Folders are named by the query's own id and its batch number: another query, or
+the same inbox with a new checkpoint, never overwrites earlier folders, and a
+replayed batch overwrites only itself.
 """
 from __future__ import annotations
 
@@ -17,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from recordfold.operators.overlay import LOG_KEYS, LOG_VALUES, latest_actions
+from recordfold.operators.overlay import LOG_KEYS, LOG_VALUES, last_ordering
 from recordfold.schemas import ANNOTATIONS
-from recordfold.sources.decisions import CSV_OPTIONS, append_decisions
+from recordfold.sources.decisions import COLUMNS, CSV_OPTIONS, append_decisions
 
 
 def read_inbox(spark: SparkSession, inbox: str, max_files: int | None = None) -> DataFrame:
@@ -29,37 +34,59 @@ def read_inbox(spark: SparkSession, inbox: str, max_files: int | None = None) ->
     return reader.csv(inbox)
 
 
+def batch_name(batch: DataFrame, batch_id: int) -> str:
+    """Query id (kept in its checkpoint) and batch number."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not query:
+        raise RuntimeError("a streaming query's id is needed to name its batch")
+    return f"{query}-{batch_id}"
+
+
 def ingest_decisions(spark: SparkSession, inbox: str, log_root: str, checkpoint: str,
                      max_files: int | None = None) -> StreamingQuery:
     """Append every decision arriving in ``inbox`` to the log under ``log_root``;
-    micro-batch ``n`` becomes log batch ``n`` (a replay overwrites it)."""
-    cols = [f.name for f in ANNOTATIONS.fields]
-    stream = read_inbox(spark, inbox, max_files).select(*cols)
+    a micro-batch is one log batch (a replay overwrites it)."""
+    stream = read_inbox(spark, inbox, max_files).select(*COLUMNS)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_decisions(batch, log_root, batch_id)
+        append_decisions(batch, log_root, batch_name(batch, batch_id))
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())
 
 
+def _keyed(log: DataFrame) -> DataFrame:
+    """Per item and value: the largest (order, value) among non-null values."""
+    order = last_ordering(("timestamp", "seq"))
+    present = F.lit(True)
+    for k in LOG_KEYS:
+        present = present & F.col(k).isNotNull()
+    best = [F.max(F.when(F.col(c).isNotNull(), F.struct(order.alias("o"), F.col(c).alias("v")))).alias(c) for c in LOG_VALUES]
+    return log.where(present).groupBy(*LOG_KEYS).agg(*best)
+
+
 def maintain_latest(spark: SparkSession, inbox: str, state_root: str, checkpoint: str,
                     max_files: int | None = None) -> StreamingQuery:
     """Keep the folded last action per (user, patient, stay, item) up to date."""
-    folded = latest_actions(read_inbox(spark, inbox, max_files))
+    folded = _keyed(read_inbox(spark, inbox, max_files))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        # one folder per micro-batch: a replayed batch overwrites its own rows
-        batch.withColumn("_batch", F.lit(batch_id).cast("bigint")) \
-            .write.mode("overwrite").parquet(f"{state_root.rstrip('/')}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{state_root.rstrip('/')}/batch={batch_name(batch, batch_id)}")
 
     return (folded.writeStream.outputMode("update").foreachBatch(upsert)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def _state(spark: SparkSession, state_root: str) -> DataFrame:
+    rows = spark.read.option("basePath", state_root).parquet(f"{state_root.rstrip('/')}/batch=*")
+    return rows.groupBy(*LOG_KEYS).agg(*[F.max(c).alias(c) for c in LOG_VALUES])
+
+
 def read_latest_state(spark: SparkSession, state_root: str) -> DataFrame:
-    """Current state: per key, the row written by the highest batch."""
-    st = spark.read.option("basePath", state_root).parquet(f"{state_root.rstrip('/')}/batch=*")
-    row = F.struct(*[F.col(c) for c in LOG_VALUES])
-    return (st.groupBy(*LOG_KEYS).agg(F.max_by(row, F.col("_batch")).alias("_s"))
-            .select(*LOG_KEYS, "_s.*"))
+    """Current state: per key and value, the latest non-null one over all batches."""
+    return _state(spark, state_root).select(*LOG_KEYS, *[F.col(c)["v"].alias(c) for c in LOG_VALUES])
+
+
+def compact_state(spark: SparkSession, state_root: str, target: str) -> None:
+    """Rewrite the state under ``state_root`` as one batch under ``target`` (a new root)."""
+    _state(spark, state_root).write.mode("errorifexists").parquet(f"{target.rstrip('/')}/batch=compacted")

@@ -12,10 +12,10 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables abs
 
 
 def test_no_pairwise_joins_or_python(spark):
-    import __spark_entry__ as e
     from plan_report import shape
+    from recordfold.plans.registry import all_queries
     bad = {}
-    for name, q in e.queries().items():
+    for name, q in all_queries().items():
         s = shape(q(spark, SF))
         hits = {k: s[k] for k in ("bnlj", "cartesian", "python_udf", "pandas_udf") if s[k]}
         if hits:

@@ -33,7 +33,37 @@ def test_streamed_fold_equals_batch(spark):
     cols = ["user", "item_id", "timestamp", "action", "code"]
     assert rows(got, *cols) == rows(batch, *cols)
     # three files, one per trigger -> three micro-batches were written
-    assert spark.read.parquet(state).select("_batch").distinct().count() == 3
+    assert spark.read.parquet(state).select("batch").distinct().count() == 3
+    packed = tempfile.mkdtemp(prefix="packed-")
+    stream.compact_state(spark, state, packed)
+    assert rows(stream.read_latest_state(spark, packed), *cols) == rows(batch, *cols)
+
+
+def test_second_checkpoint_adds_and_never_overwrites(spark):
+    """Two inboxes with two checkpoints on one log and one state: nothing is lost,
+    and a newer action from the second query wins."""
+    def inbox(rows_):
+        path = tempfile.mkdtemp(prefix="inbox-")
+        spark.createDataFrame(rows_, ANNOTATIONS).coalesce(1).write.mode("append").options(**decisions.CSV_OPTIONS).csv(path)
+        return path
+
+    def row(minute, item, action, comment, seq):
+        return (T0 + dt.timedelta(minutes=minute), "u1", "P1", "S1", "suggestion", item, action, None, None, None, comment, seq)
+    note = 'first line\n "quoted", back\\slash \n'
+    first = inbox([row(0, "a", "validé", note, 0), row(1, "b", "rejeté", None, 1), row(2, "c", "validé", "x", 2)])
+    second = inbox([row(9, "b", "annulé", None, 3)])
+    root, state = tempfile.mkdtemp(prefix="log-"), tempfile.mkdtemp(prefix="state-")
+    for box in (first, second):
+        stream.ingest_decisions(spark, box, root, tempfile.mkdtemp(prefix="ckpt-")).awaitTermination()
+        stream.maintain_latest(spark, box, state, tempfile.mkdtemp(prefix="ckpt-")).awaitTermination()
+    log = decisions.read_all_decisions(spark, root)
+    assert sorted((r.seq, r.item_id, r.commentaire) for r in log.collect()) == [
+        (0, "a", note), (1, "b", None), (2, "c", "x"), (3, "b", None)]
+    got = {r.item_id: r.action for r in stream.read_latest_state(spark, state).collect()}
+    assert got == {"a": "validé", "b": "annulé", "c": "validé"}
+    target = tempfile.mkdtemp(prefix="log-")
+    decisions.compact(spark, root, target)
+    assert rows(decisions.read_user_decisions(spark, target, "u1"), "seq") == rows(log, "seq")
 
 
 def stream_source(spark, inbox):
