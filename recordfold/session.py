@@ -28,10 +28,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # Broadcast only on measured sizes: no broadcast from plan-time estimates
-        # (which can under-count after explodes); AQE converts a join to a
-        # broadcast when the materialised side is under the runtime threshold.
-        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        # The engine's own size checks: a side whose scan is under the static
+        # threshold (catalogues) is broadcast without shuffling the fact side;
+        # AQE converts other joins by the measured size.
+        .config("spark.sql.autoBroadcastJoinThreshold", "10MB")
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
