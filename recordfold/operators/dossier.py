@@ -15,8 +15,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from recordfold.functions.scalars import safe_int
+from recordfold.functions.scalars import safe_bool, safe_int
 
 STAY_KEY = ["patient_id", "id_sejour"]
 
@@ -136,6 +137,24 @@ def _ordered_list(df: DataFrame, key: Sequence[str], pos: str, fields: Sequence[
     return df.groupBy(*key).agg(F.transform(lst, lambda x: x["_v"]).alias(name))
 
 
+def order_bucket(pos: str, dtype) -> Column | None:
+    """A coarse value that never decreases along ``pos``: cuts a hot stay into
+    ordered buckets for ``positional_index``."""
+    if isinstance(dtype, (T.IntegerType, T.LongType)):
+        return F.shiftright(F.col(pos), 20)
+    if isinstance(dtype, T.StructType):
+        if dtype.fieldNames() == ["_file", "_row"]:
+            return F.struct(F.col(pos)["_file"], F.shiftright(F.col(pos)["_row"], 20))
+        return F.col(pos)[dtype.fieldNames()[0]]
+    return None
+
+
+def build_stays(t: Mapping[str, DataFrame], latest: DataFrame | None = None) -> DataFrame:
+    """The record in bulk form: one row per stay (patient_id, id_sejour, stay)
+    with the stay's ordered lists, so a patient never gathers in one row."""
+    return _stays(t, latest).select(*STAY_KEY, "stay")
+
+
 def build_dossiers(t: Mapping[str, DataFrame], latest: DataFrame | None = None) -> DataFrame:
     """One nested record per patient (identity, sejourOrder, sejours map,
     horsSejour), for all patients in one plan.
@@ -144,6 +163,10 @@ def build_dossiers(t: Mapping[str, DataFrame], latest: DataFrame | None = None)
     ``latest`` is the reader's folded decision log (``latest_actions``) keyed
     by (patient_id, id_sejour, item_id); without it no decision is applied.
     """
+    return _per_patient(t, _stays(t, latest))
+
+
+def _stays(t: Mapping[str, DataFrame], latest: DataFrame | None) -> DataFrame:
     from recordfold.operators import overlay
 
     k = STAY_KEY
@@ -152,25 +175,18 @@ def build_dossiers(t: Mapping[str, DataFrame], latest: DataFrame | None = None)
 
     docs_in = t["documents"].where(F.col("id_sejour").isNotNull())
     docs = attach_highlights(docs_in, hl, "document", "doc_id")
-    doc_fields = [F.col("doc_id").alias("id"), "date", "type", "titre", "uf", "excerpt",
-                  F.col("full_text").alias("fullText"), "highlights"]
+    doc_fields, form_fields, obs_fields = _text_fields()
     forms = assemble_forms(t["fiches"].where(F.col("id_sejour").isNotNull()))
     forms = attach_highlights(forms, hl, "fiche", "fiche_id")
-    form_fields = [F.col("fiche_id").alias("id"), "titre", "type", "date", "uf", "highlights", "champs"]
     obs = attach_highlights(t["observations"].where(F.col("id_sejour").isNotNull()), hl,
                             "observation", "observation_id")
-    obs_fields = [F.col("observation_id").alias("id"), "date", "uf", "categorie", "highlights", "texte"]
     obs = obs.withColumn("_chrono", F.struct(F.col("date").isNull().alias("n"), F.col("date").alias("d"),
                                              F.col("pos").alias("p")))
 
     meds = t["medicaments"]
-    from pyspark.sql import types as T
     from recordfold.operators.positional import positional_index
-    # ids follow file order; integral positions also split a hot stay into
-    # ordered buckets of 2^20 rows
-    integral = isinstance(meds.schema["pos"].dataType, (T.IntegerType, T.LongType))
-    bucket = F.shiftright(F.col("pos"), 20) if integral else None
-    meds = positional_index(meds, k, ["pos"], bucket=bucket, name="_i")
+    # ids follow file order, numbered bucket by bucket within a hot stay
+    meds = positional_index(meds, k, ["pos"], bucket=order_bucket("pos", meds.schema["pos"].dataType), name="_i")
     # displayed in time order (then file order)
     meds = meds.withColumn("_chrono", F.struct(F.col("date_administration").isNull().alias("n"),
                                                F.col("date_administration").alias("d"), F.col("pos").alias("p")))
@@ -187,8 +203,8 @@ def build_dossiers(t: Mapping[str, DataFrame], latest: DataFrame | None = None)
         sugg = overlay.suggestion_status(sug.withColumn("user", F.lit("_")), la)
         manual = overlay.manual_codes(la)
     else:
-        codes = codes.withColumn("removed", F.coalesce(F.lower(F.trim("removed")).isin(
-            "true", "1", "vrai", "oui", "yes"), F.lit(False))).withColumn("manuel", F.lit(False))
+        codes = codes.withColumn("removed", safe_bool("removed", codes.schema["removed"].dataType)) \
+            .withColumn("manuel", F.lit(False))
         sugg = sug.withColumn("status", F.lit("pending")).withColumn("amended", F.lit(False)) \
             .withColumn("confiance", safe_int("confiance", sug.schema["confiance"].dataType, 0))
         manual = None
@@ -234,7 +250,22 @@ def build_dossiers(t: Mapping[str, DataFrame], latest: DataFrame | None = None)
                            *[empty[n].alias(n) for n in parts])
     # duplicate stay rows: the last by ordre supplies the map value
     order = F.struct(F.col("ordre").isNull().alias("n"), F.col("ordre").alias("o"), F.col("pos").alias("p"))
-    per_stay = stays.groupBy(*k).agg(F.max_by(stay_struct, order).alias("stay"))
+    return stays.groupBy(*k).agg(F.max_by(stay_struct, order).alias("stay"))
+
+
+def _text_fields():
+    """Output fields of documents, forms and observations."""
+    return ([F.col("doc_id").alias("id"), "date", "type", "titre", "uf", "excerpt",
+             F.col("full_text").alias("fullText"), "highlights"],
+            [F.col("fiche_id").alias("id"), "titre", "type", "date", "uf", "highlights", "champs"],
+            [F.col("observation_id").alias("id"), "date", "uf", "categorie", "highlights", "texte"])
+
+
+def _per_patient(t: Mapping[str, DataFrame], per_stay: DataFrame) -> DataFrame:
+    doc_fields, form_fields, obs_fields = _text_fields()
+    st = t["sejours"]
+    order = F.struct(F.col("ordre").isNull().alias("n"), F.col("ordre").alias("o"), F.col("pos").alias("p"))
+    no_stays = F.from_json(F.lit("{}"), T.MapType(T.StringType(), per_stay.schema["stay"].dataType))
     stay_map = per_stay.groupBy("patient_id").agg(
         F.map_from_entries(F.collect_list(F.struct("id_sejour", "stay"))).alias("sejours"))
     stay_order = st.groupBy("patient_id").agg(
@@ -261,6 +292,6 @@ def build_dossiers(t: Mapping[str, DataFrame], latest: DataFrame | None = None)
     return out.select(
         "patient_id", "identity",
         F.coalesce("sejourOrder", F.array().cast("array<string>")).alias("sejourOrder"),
-        "sejours",
+        F.coalesce("sejours", no_stays).alias("sejours"),
         F.struct(*[F.coalesce(F.col(n), F.array()).alias(n)
                    for n in ("documents", "fiches", "observations")]).alias("horsSejour"))

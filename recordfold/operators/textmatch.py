@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordfold.session import materialised
+
 # Anything that is not a letter, digit or underscore separates words.
 WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 SEP_SPLIT = r"[\p{L}\p{N}_]+"
@@ -98,7 +100,10 @@ def find_passages(texts: DataFrame, text_ids: Sequence[str], text_col: str,
     if seps.take(1):
         cands = cands.unionByName(_via_fragments(units(SEP_SPLIT), seps.select(*pids, "_frag"), tids, pids))
 
+    # Candidates are few next to the texts.  Written first, their size is known:
+    # they are broadcast to the texts where that is small, and then no text moves.
+    cands = materialised(cands.distinct(), "candidates")
     body = texts.select(*tids, F.col(text_col).alias("_text"))
-    both = cands.join(body, tids).join(p.select(*pids, "_passage"), pids)
+    both = body.join(cands, tids).join(p.select(*pids, "_passage"), pids)
     offset = F.instr(F.col("_text"), F.col("_passage")).cast("bigint")
     return both.select(*tids, *pids, offset.alias("offset")).where(F.col("offset") > 0)

@@ -223,25 +223,19 @@ def new_rule_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------- full domain tables
 
-def _empty_domain(spark: SparkSession, name: str) -> DataFrame:
-    from pyspark.sql import types as T
-    from recordfold.schemas import TABLES
-    schema = T.StructType(TABLES[name].fields + [T.StructField("pos", T.LongType())])
-    return spark.createDataFrame([], schema)
-
-
 def domain_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All eleven reference tables derived from the driver's tables, each
     with its file position ``pos``.  Forms are conversations (no stay when
     ``conv_id % 5 = 0``); doses, lab results (two measures per line) and
     clinician codes are line items; suggestions are benchmark passages found
-    in documents that belong to a stay.  Pathway, observations and vitals
-    have no counterpart and stay empty."""
+    in documents that belong to a stay; pathway events are the decision log's
+    events, observations are pages (no stay when ``page_id % 5 = 0``) and
+    vitals come one per order."""
     from recordfold.operators.textmatch import find_passages
 
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    li_pos = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    li_pos = F.struct(*LINE_ORDER)  # a line's place in its order: unique, unlike its number
     pid, sid = _s("o_custkey").alias("patient_id"), _s("l_orderkey").alias("id_sejour")
     t: dict[str, DataFrame] = {}
     t["patients"] = patients(spark, sf_dir)
@@ -252,8 +246,23 @@ def domain_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         _s("o_orderkey").alias("id_sejour"), F.col("o_orderpriority").alias("service"),
         F.to_date("o_orderdate").alias("entree"), F.date_add(F.to_date("o_orderdate"), 60).alias("sortie"),
         F.col("o_orderkey").alias("pos"))
-    for name in ("parcours", "observations", "constantes"):
-        t[name] = _empty_domain(spark, name)
+    log = decision_log(spark, sf_dir)
+    none = lambda kind="string": F.lit(None).cast(kind)
+    t["parcours"] = log.select(
+        "patient_id", "id_sejour", _s("seq").alias("event_id"), F.to_date("timestamp").alias("date"),
+        F.date_format("timestamp", "HH:mm").alias("heure"), F.col("event_type").alias("type"),
+        F.concat(F.lit("item "), _s("k")).alias("titre"), none().alias("detail"), none().alias("uf"), F.col("seq").alias("pos"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").join(orders, F.col("page_id") == F.col("o_orderkey"))
+    t["observations"] = pages.select(
+        _s("o_custkey").alias("patient_id"), F.when(F.col("page_id") % 5 != 0, _s("page_id")).alias("id_sejour"),
+        _s("page_id").alias("observation_id"), none("date").alias("date"), none().alias("uf"), F.lit("page").alias("categorie"),
+        F.col("url").alias("texte"), F.col("page_id").cast("bigint").alias("pos"))
+    t["constantes"] = o.select(
+        _s("o_custkey").alias("patient_id"), _s("o_orderkey").alias("id_sejour"),
+        F.date_format("o_orderdate", "dd/MM").alias("date"),
+        F.when(F.col("o_orderkey") % 9 != 0, _s(F.col("o_orderkey") % 60 + 50)).otherwise(F.lit("n/a")).alias("fc"),
+        F.col("o_orderpriority").alias("ta"), none().alias("spo2"), none().alias("temp"), none().alias("poids"),
+        F.col("o_orderkey").alias("pos"))
     docs = documents(spark, sf_dir)
     t["documents"] = docs.select(
         "patient_id", "id_sejour", "doc_id", F.lit(None).cast("date").alias("date"), "type", "titre",
@@ -266,7 +275,7 @@ def domain_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         _s("conv_id").alias("fiche_id"), F.lit("conversation").alias("titre"), F.lit("chat").alias("type"),
         F.lit(None).cast("date").alias("date"), F.lit(None).cast("string").alias("uf"),
         F.col("turn").cast("int").alias("champ_ordre"), F.col("role").alias("champ_label"),
-        F.col("text").alias("champ_valeur"), (F.col("conv_id") * 100000 + F.col("turn")).alias("pos"))
+        F.col("text").alias("champ_valeur"), F.struct("conv_id", "turn").alias("pos"))
     bio = li.select(pid, sid, F.date_format("l_shipdate", "dd/MM").alias("date"), li_pos.alias("pos"),
                     F.explode(F.array(
                         F.struct(F.lit("quantite").alias("code"), F.col("l_quantity").alias("valeur")),

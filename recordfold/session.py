@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -58,6 +58,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to a fresh scratch table and read it back: its size is then
+    known to the planner, and it is computed once."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique folder under the checkpoint dir for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -35,7 +35,7 @@ def test_nested_record(spark):
     assert [x.id for x in p1.horsSejour.documents] == ["d0"]
     assert p1.horsSejour.documents[0].highlights == []
     assert [x.id for x in p1.horsSejour.fiches] == ["f0"]
-    assert d["P3"].sejourOrder == [] and d["P3"].sejours is None
+    assert d["P3"].sejourOrder == [] and d["P3"].sejours == {}
 
 
 def test_nested_record_with_decisions(spark):
