@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordfold.llm import common
+from recordfold.llm import common, quality_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,7 +29,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "fingerprint", "component_id")
 
 
-@register("op3_quality_rules")
+@register("op3_quality_rules", quality_sql.oracle())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordfold.llm import quality
     return quality.quality_report(common.documents(spark, sf_dir)).select(
