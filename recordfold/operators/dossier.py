@@ -295,3 +295,30 @@ def _per_patient(t: Mapping[str, DataFrame], per_stay: DataFrame) -> DataFrame:
         F.coalesce("sejours", no_stays).alias("sejours"),
         F.struct(*[F.coalesce(F.col(n), F.array()).alias(n)
                    for n in ("documents", "fiches", "observations")]).alias("horsSejour"))
+
+
+CHILDREN = ("parcours", "documents", "fiches", "observations", "constantes", "biologie", "medicaments", "codesValides",
+            "suggestions")
+OUTSIDE = ("documents", "fiches", "observations")
+
+
+def flatten_dossiers(dossiers: DataFrame) -> dict[str, DataFrame]:
+    """Nested records back to the eleven flat tables: patients, stays and one
+    table per child list, rows outside any stay with a NULL ``id_sejour``.  Each
+    row keeps its place in its list as ``pos``; every table is one projection
+    and explode over the records, without a shuffle."""
+    stays = dossiers.select("patient_id", F.explode("sejours").alias("id_sejour", "_s"))
+    out = {
+        "patients": dossiers.select("patient_id", "identity.sexe", "identity.age"),
+        "sejours": dossiers.select("patient_id", F.posexplode("sejourOrder").alias("ordre", "id_sejour"), "sejours").select(
+            "patient_id", "ordre", "id_sejour", *[F.try_element_at("sejours", F.col("id_sejour"))[c].alias(c)
+                                                  for c in ("service", "entree", "sortie")]),
+    }
+    for name in CHILDREN:
+        rows = stays.select("patient_id", "id_sejour", F.posexplode(F.col("_s")[name]).alias("pos", "_x"))
+        if name in OUTSIDE:
+            rows = rows.unionByName(dossiers.select(
+                "patient_id", F.lit(None).cast("string").alias("id_sejour"),
+                F.posexplode(F.col("horsSejour")[name]).alias("pos", "_x")))
+        out[name] = rows.select("patient_id", "id_sejour", "pos", "_x.*")
+    return out

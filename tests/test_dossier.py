@@ -141,3 +141,17 @@ def test_files_to_nested_record(spark, tmp_path):
     a = {r.patient_id: r.asDict(recursive=True) for r in dossier.build_dossiers(loaded).collect()}
     b = {r.patient_id: r.asDict(recursive=True) for r in dossier.build_dossiers(t).collect()}
     assert a == b
+
+
+def test_flattened_records_give_the_tables_back(spark):
+    t = tables(spark)
+    flat = dossier.flatten_dossiers(dossier.build_dossiers(t))
+    assert set(flat) == {"patients", "sejours", *dossier.CHILDREN}
+    stays = t["sejours"].select("patient_id", "id_sejour").distinct()
+    for name, table, key in (("medicaments", "medicaments", "nom"), ("biologie", "biologie", "code"), ("parcours", "parcours", "event_id")):
+        want = t[table].join(stays, ["patient_id", "id_sejour"], "left_semi")
+        got = flat[name].withColumnRenamed("id", "event_id") if name == "parcours" else flat[name]
+        assert rows(got, "patient_id", "id_sejour", key) == rows(want, "patient_id", "id_sejour", key)
+    docs = t["documents"].join(stays, ["patient_id", "id_sejour"], "left_semi").union(
+        t["documents"].where("id_sejour IS NULL").join(t["patients"].select("patient_id"), "patient_id", "left_semi").select(*t["documents"].columns))
+    assert sorted(r.id for r in flat["documents"].collect()) == sorted(r.doc_id for r in docs.collect())
