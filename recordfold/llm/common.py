@@ -1,6 +1,9 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import pathlib
+import shutil
+import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -20,10 +23,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of Python tasks, and see that tasks can import this package."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def _ship(spark: SparkSession) -> None:
+    """Where executors do not have the package installed, send it to them as
+    ``--py-files`` would, once per context (a file Spark itself serves)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_recordfold_sent", False):
+        return
+    sc._recordfold_sent = True
+
+    def probe(batches):
+        import importlib.util
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"ok": [importlib.util.find_spec("recordfold") is not None]})
+    if not all(r["ok"] for r in spark.range(1).mapInArrow(probe, "ok boolean").collect()):
+        folder = pathlib.Path(__file__).resolve().parents[1]
+        base = tempfile.mkdtemp(prefix="recordfold-code-")
+        sc.addPyFile(shutil.make_archive(f"{base}/recordfold", "zip", folder.parent, folder.name))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back: cuts
     the lineage with files that outlive any executor."""

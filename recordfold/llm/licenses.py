@@ -44,7 +44,7 @@ NOTICES = {
             "documentation files to deal in the software without restriction"],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
 }
-THRESHOLD = 0.85
+THRESHOLD = 0.9
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
