@@ -91,3 +91,20 @@ def test_keep_good_keeps_columns_and_handles_empty(spark, make_docs):
     assert kept.count() == quality.quality_report(docs).where("kept").count()
     assert quality.keep_good(docs.limit(0)).count() == 0
     assert "PythonUDF" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_query_equals_its_duckdb_twin(spark):
+    import os
+
+    import duckdb
+    import pytest
+
+    from recordfold.llm import queries
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables absent")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    got = queries.QUERIES["op3_quality_rules"](spark, sf)
+    want = con.execute(queries.ORACLE["op3_quality_rules"]).df()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want[got.columns].values.tolist()))
