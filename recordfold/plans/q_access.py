@@ -336,3 +336,26 @@ def q_import_reviewer_logs(spark, sf_dir):
     la = latest_actions(decisions.read_reviewer_files(spark, f"{root}/reviewer=*"))
     return la.select("user", "patient_id", "id_sejour", "item_id", ts_text("timestamp").alias("last_ts"),
                      "item_type", "action", "code", "libelle", "type_code", "commentaire")
+
+
+@register("export_file", ORACLE["export_all"])
+def q_export_file(spark, sf_dir):
+    """The consolidated log written as CSV files and read back by its schema."""
+    path = scratch_path(spark, "export")
+    decisions.export_csv(ad.decision_log(spark, sf_dir).select(*decisions.COLUMNS), path)
+    back = spark.read.schema(ANNOTATIONS).options(**decisions.CSV_OPTIONS).csv(path)
+    return back.select(ts_text("timestamp").alias("timestamp"), "user", "patient_id", "id_sejour", "item_type", "item_id",
+                       "action", "code", "libelle", "type_code", "commentaire", "seq")
+
+
+@register("tables_roundtrip", with_ctes(["patients", "stays"], """
+SELECT 'patients' AS tbl, patient_id AS k, sexe AS v FROM patients
+UNION ALL SELECT 'sejours', id_sejour, strftime(entree, '%Y-%m-%d') FROM stays"""))
+def q_tables_roundtrip(spark, sf_dir):
+    """Tables written as files (a fresh folder) and loaded back the tolerant way."""
+    base = scratch_path(spark, "tables")
+    ingest.write_tables({"patients": ad.patients(spark, sf_dir).select("patient_id", "sexe", "age"),
+                         "sejours": ad.stays(spark, sf_dir).select("patient_id", "id_sejour", "service", "entree", "sortie")}, base)
+    p, s = (ingest.load_table(spark, base, n) for n in ("patients", "sejours"))
+    return p.select(F.lit("patients").alias("tbl"), F.col("patient_id").alias("k"), F.col("sexe").alias("v")).unionByName(
+        s.select(F.lit("sejours").alias("tbl"), F.col("id_sejour").alias("k"), F.date_format("entree", "yyyy-MM-dd").alias("v")))

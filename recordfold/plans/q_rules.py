@@ -119,3 +119,30 @@ def q_rule_catalog_nested(spark, sf_dir):
     return cat.select("id", F.array_join(F.transform("parametres", lambda p: p["operateur"]), "|").alias("operateurs"),
                       F.size("parametres").cast("bigint").alias("n_conditions"), terms.alias("n_terms"),
                       F.size("commentaires").cast("bigint").alias("n_comments"))
+
+
+@register("rule_versions", with_ctes(["rules", "patches", "patch1"], """
+SELECT r.id, coalesce(p.titre, r.titre) AS titre, coalesce(p.logique, r.logique) AS logique,
+       coalesce(p.description, r.description) AS description, 2 AS version
+FROM rules r LEFT JOIN patch1 p ON p.id = r.id"""))
+def q_rule_versions(spark, sf_dir):
+    """The rule table saved as version 1, edited, saved as version 2, and read
+    back as readers see it."""
+    from recordfold.session import scratch_path
+    from recordfold.sources import rule_store
+    root = scratch_path(spark, "rule-store")
+    rule_store.save_version(ad.rule_table(spark, sf_dir), root, "rules", 1)
+    updated, _ = rules.patch(rule_store.read_current(spark, root, "rules"), ad.rule_patches(spark, sf_dir))
+    rule_store.save_version(updated, root, "rules", 2)
+    current = rule_store.read_current(spark, root, "rules")
+    return current.select("id", "titre", "logique", "description",
+                          F.lit(rule_store.current_version(spark, root, "rules")).alias("version"))
+
+
+@register("rule_encode", with_ctes(["conds"], """
+SELECT rule_id, ordre, CASE WHEN operateur = 'wordlist' THEN coalesce(valeur, '') END AS stored FROM conds"""))
+def q_rule_encode(spark, sf_dir):
+    """Word lists as arrays, stored as one text again."""
+    dec = rules.decode_values(ad.rule_conditions(spark, sf_dir))
+    enc = rules.encode_values(dec.select("rule_id", "ordre", F.col("terms").alias("valeur")))
+    return enc.select("rule_id", "ordre", F.col("valeur").alias("stored"))
