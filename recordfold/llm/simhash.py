@@ -339,17 +339,24 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components by alternating large-star and
     small-star steps; root is the smallest node.  A round's table is written
-    to the shared folder; rounds grow with the logarithm of the diameter."""
+    to the shared folder; rounds grow with the logarithm of the diameter.
+
+    Edges point from the larger node u to the smaller v.  A hub of very many
+    nodes is their v.  Its rows meet the small table of smallest neighbours in a
+    join whose sides are plain tables, which the engine broadcasts or, for a
+    skewed v, splits; no aggregate needs a hub's rows together.  The smaller
+    neighbours of a node, gathered per u, are few: a forest gives a node an edge
+    per cell it is in, and every round replaces them by their minimum."""
     e = common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                        .where("u <> v").distinct(), "links")
     seen = None
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = common.written(large.join(least, "u").select("u", F.col("m").alias("v")).union(small).distinct(), "star")
+        low = common.written(e.groupBy(F.col("u").alias("y")).agg(F.min("v").alias("m")), "low")
+        large = e.join(low, e["v"] == low["y"], "left").select("u", F.coalesce("m", "v").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
+        star = least.select("u", "m", F.explode("vs").alias("v"))
+        e = common.written(star.select("u", F.col("m").alias("v")).union(
+            star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "star")
         state = e.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
