@@ -38,13 +38,18 @@ from recordfold.llm import common
 
 SHARD_BYTES = 16 * 1024 * 1024
 BLOCK_BYTES = 1024 * 1024
-MEMO = 400_000
+MEMO = 300_000
 MAGIC = b"RBK1"
 _BLOCK, _FRAME, _HEAD = struct.Struct("<4sIQ"), struct.Struct("<II"), struct.Struct("<Bq")
 NO_ID, WIDE = 1, 2
+#: Letters of which a run is one pre-token if an ASCII character that is no letter, or the end, follows.
+_LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _WHITE = "\t-\r \x85\xa0  -     　"
 
 
+_PLAIN = re.compile(f" ?[{_LETTER}]+")
+
+
 def masked_crc(data: bytes) -> int:
     c = zlib.crc32(data)
     return ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
@@ -94,11 +99,14 @@ def read_shard(data: memoryview) -> Iterator[tuple[int, int, int | None, np.ndar
 
 
 class TextEncoder:
-    """The tokenizers library with a memo of white-space delimited pieces.
+    """The tokenizers library with a memo of pieces of texts.
 
     No pre-token of a byte-level vocabulary continues from a character that is
-    no white space into white space, so a text may be cut there and every
-    distinct piece encoded once.  Texts with a special string go to the library whole."""
+    no white space into white space, or from a letter into an ASCII character
+    that is none, so a text may be cut there and every distinct piece encoded
+    once.  Plain words are handed over many in one text, a line each.  Texts
+    with a special string go to the library whole.  The memo is of bounded size:
+    when full it becomes the older half, and the half before it is dropped."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -113,10 +121,28 @@ class TextEncoder:
         kind = spec["pre_tokenizer"] or {}
         self.cut = None
         if kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not spec["normalizer"]:
-            self.cut = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+            self.cut = re.compile(f"[{_WHITE}]*[{_LETTER}]+(?=[\\x00-@\\[-`{{-\x7f]|$)|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, pieces: list[str]) -> None:
+        known = self.older
+        self.memo.update((p, known[p]) for p in pieces if p in known)
+        fresh = [p for p in pieces if p not in known]
+        plain = [p for p in fresh if _PLAIN.fullmatch(p)] if len(self.line) == 1 else []
+        for i in range(0, len(plain), 2000):
+            part = plain[i:i + 2000]
+            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line[0])
+            raw = ids.tobytes()
+            starts = [0, *(4 * (cuts + 1)).tolist()]
+            ends = [*(4 * cuts).tolist(), len(raw)]
+            self.memo.update((p, raw[a:b]) for p, a, b in zip(part, starts, ends, strict=True))
+        rest = [p for p in fresh if p not in self.memo]
+        self.memo.update(zip(rest, self._encode(rest)))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -131,12 +157,11 @@ class TextEncoder:
         direct = dict(zip(whole, self._encode([texts[k] for k in whole])))
         cut = [[] if k in direct else self.cut.findall(t) for k, t in enumerate(texts)]
         if len(self.memo) > MEMO:
-            self.memo.clear()
+            self.older, self.memo = self.memo, {}
         new: set[str] = set()
         for c in cut:
             new.update(c)
-        fresh = [p for p in new if p not in self.memo]
-        self.memo.update(zip(fresh, self._encode(fresh)))
+        self._learn([p for p in new if p not in self.memo])
         get = self.memo.__getitem__
         return [direct[k] if k in direct else b"".join(map(get, c)) for k, c in enumerate(cut)]
 
