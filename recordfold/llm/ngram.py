@@ -3,24 +3,26 @@
 Tokens are white-space delimited words after lowering A-Z, and one end per
 text.  The model interpolates nothing: a bigram that is kept has its discounted
 relative frequency; for any other pair the history's backoff weight times the
-add-one unigram probability holds, so every history sums to one.
-
-Automaton: the root and, for every frequent word and the beginning of a text, a
-state.  Kept bigrams are arcs; every state has a failure arc to the root that
-costs its backoff weight; the root has an arc for every word.  A text is
-walked once, from left to right, carrying the state and adding log10
-probabilities.
-
-Scale: counts cover all training texts.  Words and bigrams with at least
-``SHARE`` of all training tokens (and two occurrences) are the automaton: at
-most 1 / SHARE of each at any size, a proven bound for its broadcast.  All
-other words are scored by their exact counts in a distributed join: the walk
-adds the backoff weights, emits (text, word hash, occurrences), and the join
-adds the root's arc.  Words are told apart by their 64-bit XXH64.
+add-one unigram probability holds, so every history sums to one.  Every bigram
+with ``CUTOFF`` occurrences is kept, whatever the size of the corpus.
+
+Automaton: a state for every word and the beginning of a text.  Kept bigrams
+are arcs; every state has a failure arc to the root that costs its backoff
+weight; the root has an arc for every word.  A text is walked once, from left
+to right, adding log10 probabilities.
+
+Scale: counts cover all training texts and stay tables.  Words and arcs with
+at least ``SHARE`` of all training tokens are broadcast: at most 1 / SHARE of
+each at any size.  This is where the automaton is held, not what it knows: for
+all other words and pairs the walk emits (text, hash, occurrences), and a join
+with the tables adds the root's arcs and backoff weights of those words, and
+for those pairs that are kept the difference between their arc and the failure
+path.  Words and pairs are told apart by 64-bit hashes.
 """
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,11 +35,30 @@ from pyspark.sql import functions as F
 from recordfold.llm import common
 from recordfold.llm.simhash import LOWER
 
-SHARE, DISCOUNT = 1e-6, 0.75
+SHARE, CUTOFF, DISCOUNT = 1e-6, 2, 0.75
 #: Entries of a task's count table before it is handed on, and of its memo.
 HELD, MEMO = 400_000, 300_000
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+#: Hashes of the beginning and the end of a text: of white space, which no word is.
+START, END = _signed(xxhash.xxh64_intdigest(b"\n")), _signed(xxhash.xxh64_intdigest(b" "))
+
+
+def pair_hash(a: Column, b: Column) -> Column:
+    """Hash of a pair of word hashes: the left one xor the right one turned by 21 bits."""
+    return a.bitwiseXOR(F.shiftleft(b, 21).bitwiseOR(F.shiftrightunsigned(b, 43)))
+
+
+def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``pair_hash`` of arrays."""
+    turned = b.view(np.uint64)
+    return a ^ (turned << np.uint64(21) | turned >> np.uint64(43)).view(np.int64)
+
+
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
@@ -47,77 +68,85 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-class Ids(dict):
-    """Word to its number, or to -1 - hash if it isn't frequent; filled on use."""
+class Numbers(dict):
+    """A task's own numbers of words, filled on use, with the words' hashes.
+    The beginning of a text is 0, the end 1."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self):
         super().__init__()
-        self.by_hash = {h: i for i, h in enumerate(hashes.tolist())}
+        self.hashes = array("q", (START, END))
+        self.found = np.empty(0, np.int64)  # states of the first of them
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        v = self.by_hash.get(h, -1 - h)
-        self[word] = v
+        v = self[word] = len(self.hashes)
+        self.hashes.append(_signed(xxhash.xxh64_intdigest(word)))
         return v
 
-    def of(self, text: str | None) -> list[int]:
-        if len(self) > MEMO:
-            self.clear()
-        return list(map(self.__getitem__, words(text)))
+    def full(self) -> bool:
+        return len(self) > MEMO
+
+    def pairs(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(left number, right number, tokens of each text) of all pairs of the texts, in order."""
+        flat, sizes = [], []
+        for t in texts:
+            at = len(flat)
+            flat.append(0)
+            flat.extend(map(self.__getitem__, words(t)))
+            flat.append(1)
+            sizes.append(len(flat) - at - 1)
+        seq = np.array(flat, np.int64)
+        right = seq[1:]
+        inside = right != 0
+        return seq[:-1][inside], right[inside], np.array(sizes, np.int64)
 
 
 @dataclass
 class Model:
-    """The automaton as arrays.  Word i is state i; END, START, ROOT follow."""
+    """The broadcast part of the automaton.  State i is the i-th hash, START and END among them."""
 
     tokens: int  # N, ends included
     types: int  # V, the end included
     ends: int  # training texts
-    hashes: np.ndarray  # unsigned, of the frequent words
-    unigram: np.ndarray  # log10 probability of the frequent words and the end
+    hashes: np.ndarray  # of the frequent words, ascending
+    unigram: np.ndarray  # log10 probability of every state's word
     backoff: np.ndarray  # log10 cost of every state's failure arc
-    arcs: np.ndarray  # state * states + word, ascending
+    arcs: np.ndarray  # state * states + state, ascending
     weights: np.ndarray  # log10 probability of the arcs
-
-    @property
-    def states(self) -> int:
-        return len(self.hashes) + 3
-
-    def walker(self):
-        return Walker(self)
-
-
-class Walker:
-    """Walks texts through a model, in one task."""
-
-    def __init__(self, m: Model):
-        self.ids, self.n = Ids(m.hashes), m.states
-        self.end, self.start, self.root = self.n - 3, self.n - 2, self.n - 1
-        self.unigram, self.backoff = m.unigram.tolist(), m.backoff.tolist()
-        self.arcs = dict(zip(m.arcs.tolist(), m.weights.tolist()))
-
-    def walk(self, text: str | None) -> tuple[int, int, float, float, Counter]:
-        """(tokens, frequent tokens, their unigram sum, automaton sum, other words' hashes)."""
-        n, root, unigram, backoff, arc = self.n, self.root, self.unigram, self.backoff, self.arcs.get
-        ids = self.ids.of(text)
-        ids.append(self.end)
-        state, score, base, rare = self.start, 0.0, 0.0, []
-        for w in ids:
-            if w < 0:
-                score += backoff[state]
-                state = root
-                rare.append(-1 - w)
-                continue
-            u = unigram[w]
-            base += u
-            a = arc(state * n + w)
-            score += backoff[state] + u if a is None else a
-            state = w
-        return len(ids), len(ids) - len(rare), base, score, Counter(rare)
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+    whole: bool  # no arc is elsewhere
+
+    def states(self, hashes: np.ndarray) -> np.ndarray:
+        """State of every hash, -1 without one."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def walk(self, numbers: Numbers, texts: list) -> tuple[np.ndarray, ...]:
+        """Of every text: tokens, frequent tokens, their unigram sum, the sum of
+        what is known here.  Then the other words as (text, hash, occurrences,
+        occurrences as a history off the arcs), and the other pairs as (text,
+        pair hash, occurrences)."""
+        left, right, sizes = numbers.pairs(texts)
+        hashes = np.frombuffer(numbers.hashes, np.int64).copy()
+        state = numbers.found = np.append(numbers.found, self.states(hashes[len(numbers.found):]))
+        text, many = np.repeat(np.arange(len(texts)), sizes), len(hashes)
+        a, b = state[left], state[right]
+        both = (a >= 0) & (b >= 0)
+        key = np.where(both, a * len(self.hashes) + b, -1)
+        at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
+        arc = self.arcs[at] == key if len(self.arcs) else np.zeros(len(key), bool)
+        base = np.where(b >= 0, self.unigram[b], 0.0)
+        score = np.where(a >= 0, self.backoff[a], 0.0) + base
+        score[arc] = self.weights[at[arc]]
+        off, sums = ~arc, lambda x: np.bincount(text, x, minlength=len(texts))
+        rare = np.concatenate([(text * many + right)[b < 0], (text * many + left)[(a < 0) & off]])
+        split = int((b < 0).sum())
+        entries, where = np.unique(rare, return_inverse=True)
+        tf = np.bincount(where[:split], minlength=len(entries))
+        history = np.bincount(where[split:], minlength=len(entries))
+        others = off & (not self.whole)
+        pairs, pair_tf = np.unique((text[others] * many + left[others]) * many + right[others], return_counts=True)
+        return (sizes, sums(b >= 0).astype(np.int64), sums(base), sums(score),
+                entries // many, hashes[entries % many], tf, history,
+                pairs // many // many, pair_hashes(hashes[pairs // many % many], hashes[pairs % many]), pair_tf)
 
 
 # ------------------------------------------------------------------ training
@@ -146,113 +175,124 @@ def word_counts(training: DataFrame) -> DataFrame:
         .groupBy(F.col("k").alias("h")).agg(F.sum("n").alias("n"))
 
 
-def bigram_counts(training: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """(k, n): occurrences of pairs of frequent words, the beginning and the end."""
-    shared = training.sparkSession.sparkContext.broadcast(hashes)
-
+def bigram_counts(training: DataFrame) -> DataFrame:
+    """(a, b, n): occurrences of every pair of hashes, the beginning and the end among them."""
     def count(batches):
-        ids = Ids(shared.value)
-        n = len(shared.value) + 3
-        held, size = [], 0
+        numbers, held, size = Numbers(), [], 0
 
         def out():
             k, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int64()), "n": pa.array(c, pa.int64())})
+            hashes = np.frombuffer(numbers.hashes, np.int64).copy()
+            return pa.RecordBatch.from_pydict({"a": pa.array(hashes[k >> 32]), "b": pa.array(hashes[k & 0xFFFFFFFF]),
+                                               "n": pa.array(c, pa.int64())})
         for b in batches:
-            for t in b.column("text").to_pylist():
-                seq = np.array([v if v >= 0 else -1 for v in [n - 2, *ids.of(t), n - 3]], np.int64)
-                left, right = seq[:-1], seq[1:]
-                both = (left >= 0) & (right >= 0)
-                held.append(left[both] * n + right[both])
-                size += int(both.sum())
-                if size > 4 * HELD:
-                    yield out()
-                    held, size = [], 0
-        if held:
+            left, right, _ = numbers.pairs(b.column("text").to_pylist())
+            held.append(left << 32 | right)
+            size += len(left)
+            if size > 8 * HELD or numbers.full():
+                yield out()
+                numbers, held, size = Numbers(), [], 0
+        if size:
             yield out()
-    return training.select("text").mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-
+    return training.select("text").mapInArrow(count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-def _arrays(df: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
-    t = df.select(key, "n").toArrow()
-    k, n = t[key].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.int64)
-    order = np.argsort(k)
-    return k[order], n[order]
 
+def train(docs: DataFrame, training: Column, share: float = 0.0, discount: float = DISCOUNT,
+          broadcast: float = SHARE) -> tuple[Model, DataFrame]:
+    """The broadcast automaton of the rows of ``docs`` for which ``training``
+    holds, and the table (k, n, one, back) of the whole one: for words their hash,
+    occurrences, root arc and backoff weight, for kept pairs the hash of both
+    hashes, null, and what their arc differs from the failure path.
 
-def train(docs: DataFrame, training: Column, share: float = SHARE, discount: float = DISCOUNT) -> tuple[Model, DataFrame]:
-    """The automaton of the rows of ``docs`` for which ``training`` holds, and
-    the table (h, n) of all their words."""
-    common.bounded_batches(docs.sparkSession)
+    ``share``: the model also leaves out bigrams below that share of the tokens;
+    ``broadcast``: what is at least that share of them is broadcast (changes no score)."""
+    spark = docs.sparkSession
+    common.bounded_batches(spark)
     chosen = docs.where(training)
     counts = common.written(word_counts(chosen), "word-counts")
     ends = chosen.count()
     total = counts.agg(F.count("h"), F.sum("n")).first()
-    n_tokens, types = (total[1] or 0) + ends, total[0] + (1 if ends else 0)
-    least = max(2, math.ceil(n_tokens * share))
-    # at most 1 / share rows each: every one has that share of the tokens
-    h, n = _arrays(counts.where(F.col("n") >= least), "h")
-    hashes = h.view(np.uint64)
-    pairs, pn = _arrays(bigram_counts(chosen, hashes).where(F.col("n") >= least), "k")
-    return build(n_tokens, types, ends, hashes, n, pairs, pn, discount), counts
-
-
-def build(tokens, types, ends, hashes, counts, pairs, pair_counts, discount=DISCOUNT) -> Model:
-    """Probabilities, failure arcs and backoff weights from counts."""
-    states = len(hashes) + 3
-    p_word = (np.append(counts, ends) + 1) / (tokens + types + 1)  # words, then the end
-    seen = np.concatenate([counts, [0, ends, 0]]).astype(float)  # how often each state is a history
-    left, right = pairs // states, pairs % states
-    p = (pair_counts - discount) / seen[left]
-    mass = np.bincount(left, p, minlength=states)
-    below = np.bincount(left, p_word[right], minlength=states)
-    return Model(tokens, types, ends, hashes, np.log10(p_word), np.log10((1 - mass) / (1 - below)), pairs, np.log10(p))
+    tokens, types = (total[1] or 0) + ends, total[0] + (1 if ends else 0)
+    least = max(CUTOFF, math.ceil(tokens * share))
+    often = max(least, math.ceil(tokens * broadcast))
+    seen = counts.union(spark.createDataFrame([(START, ends), (END, ends)], "h bigint, n bigint"))
+    p = (F.col("m") + 1) / F.lit(float(tokens + types + 1))
+    pairs = common.written(bigram_counts(chosen).where(F.col("n") >= least)
+                           .join(seen.select(F.col("h").alias("b"), F.col("n").alias("m")), "b").select("a", "b", "n", p.alias("p")), "bigrams")
+    mass = pairs.groupBy(F.col("a").alias("h")).agg(F.sum(F.col("n") - discount).alias("mass"), F.sum("p").alias("below"))
+    back = F.log10((1 - F.col("mass") / F.col("n")) / (1 - F.col("below")))
+    words_ = common.written(seen.join(mass, "h", "left").select("h", "n", F.coalesce(back, F.lit(0.0)).alias("back")), "word-backoffs")
+    arc = F.log10((F.col("n") - discount) / F.col("m"))
+    arcs = common.written(
+        pairs.join(words_.select(F.col("h").alias("a"), F.col("n").alias("m"), "back"), "a")
+        .select(*(F.when(F.col("n") >= often, c).alias(name) for name, c in (("a", F.col("a")), ("b", F.col("b")), ("arc", arc))),
+                pair_hash(F.col("a"), F.col("b")).alias("k"), "n", (arc - F.col("back") - F.log10("p")).alias("one")), "arcs")
+    # at most 1 / broadcast rows each: every one has that share of the tokens
+    held = words_.where((F.col("n") >= often) | F.col("h").isin(START, END)).toArrow().sort_by("h")
+    hashes, n = held["h"].to_numpy(), held["n"].to_numpy()
+    top = arcs.where(F.col("n") >= often).select("a", "b", "arc").toArrow()
+    unigram = np.log10((n + 1) / (tokens + types + 1))
+    model = Model(tokens, types, ends, hashes, unigram, held["back"].to_numpy(), np.empty(0, np.int64), np.empty(0), often <= least)
+    key = model.states(top["a"].to_numpy()) * len(hashes) + model.states(top["b"].to_numpy())
+    order = np.argsort(key)
+    model.arcs, model.weights = key[order], top["arc"].to_numpy()[order]
+    one = F.log10(F.col("n") + 1) - math.log10(tokens + types + 1)
+    facts = words_.where((F.col("n") < often) & ~F.col("h").isin(START, END)).select(F.col("h").alias("k"), "n", one.alias("one"), "back")
+    return model, facts.unionByName(arcs.where(F.col("n") < often).select(
+        "k", F.lit(None).cast("bigint").alias("n"), "one", F.lit(0.0).alias("back")))
 
 
 # ------------------------------------------------------------------- scoring
 
-def score(docs: DataFrame, held: Column, model: Model, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, held: Column, model: Model, facts: DataFrame) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (add-one unigrams), score (the automaton), both log10."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("row", pa.int64()), ("h", pa.int64()), ("tf", pa.int64()), ("doc", pa.struct([
-        ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
-        ("base", pa.float64()), ("score", pa.float64())]))])
+    doc_type = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
+                          ("base", pa.float64()), ("score", pa.float64())])
+    schema = pa.schema([("row", pa.int64()), ("k", pa.int64()), ("tf", pa.int32()), ("hist", pa.int32()), ("doc", doc_type)])
 
     def walk(batches):
-        w = shared.value.walker()
-
-        def rows():
-            for b in batches:
-                for row, doc_id, out, text in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "held_out", "text"))):
-                    n, known, base, total, rare = w.walk(text)
-                    if not shared.value.ends:
-                        known -= 1  # the end is unknown without training texts
-                    doc = {"doc_id": doc_id, "held_out": out, "n_tokens": n, "known": known, "base": base, "score": total}
-                    yield row, row, 0, doc  # spread by its own number; it adds nothing if a word has that hash
-                    for h, tf in rare.items():
-                        yield row, _signed(h), tf, None
-        return common.rows_to_batches(rows(), schema, 20_000)
+        m, numbers = shared.value, Numbers()
+
+        def batch(row, k, tf, hist, doc=None):
+            cols = (row, k, tf, hist, doc)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(row), t.type) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t.type)
+                                               for c, t in zip(cols, schema)], schema=schema)
+        for b in batches:
+            if numbers.full():
+                numbers = Numbers()
+            row = b.column("row").to_numpy()
+            size, known, base, total, wt, h, tf, hist, pt, pair, pn = m.walk(numbers, b.column("text").to_pylist())
+            if not m.ends:
+                known = known - 1  # the end is unknown without training texts
+            doc = pa.StructArray.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(size), pa.array(known), pa.array(base),
+                                              pa.array(total)], fields=list(doc_type))
+            zero = np.zeros(len(row), np.int32)
+            yield batch(row, row, zero, zero, doc)  # spread by its own number; it adds nothing if a word has that hash
+            yield batch(row[wt], h, tf, hist)
+            yield batch(row[pt], pair, pn, None)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"),
                        held.alias("held_out"), "text")
-    parts = rows.mapInArrow(walk, "row bigint, h bigint, tf bigint, doc struct<doc_id:bigint,held_out:boolean,"
+    parts = rows.mapInArrow(walk, "row bigint, k bigint, tf int, hist int, doc struct<doc_id:bigint,held_out:boolean,"
                                   "n_tokens:bigint,known:bigint,base:double,score:double>")
-    norm = math.log10(model.tokens + model.types + 1)
-    n = F.coalesce(F.col("n"), F.lit(0))
-    summed = parts.join(counts, "h", "left").groupBy("row").agg(
-        F.max("doc").alias("doc"), F.sum(F.when(n > 0, F.col("tf")).otherwise(0)).alias("known"),
-        F.sum(F.col("tf") * (F.log10(n + 1) - norm)).alias("rare"))
+    word, unseen = F.col("hist").isNotNull(), -math.log10(model.tokens + model.types + 1)
+    one = F.col("tf") * F.coalesce("one", F.when(word, unseen).otherwise(0.0))
+    summed = parts.join(facts, "k", "left").groupBy("row").agg(
+        F.max("doc").alias("doc"), F.sum(F.when(word & (F.col("n") > 0), F.col("tf")).otherwise(0)).alias("known"),
+        F.sum(F.when(word, one).otherwise(0.0)).alias("rare"),
+        F.sum(one + F.coalesce(F.col("hist") * F.col("back"), F.lit(0.0))).alias("more"))
     return summed.select(
         "doc.doc_id", "doc.held_out", "doc.n_tokens", (F.col("doc.known") + F.col("known")).alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("doc.base") + F.col("rare")).alias("base_score"), (F.col("doc.score") + F.col("rare")).alias("score"))
+        (F.col("doc.base") + F.col("rare")).alias("base_score"), (F.col("doc.score") + F.col("more")).alias("score"))
 
 
-def train_and_score(docs: DataFrame, share: float = SHARE) -> DataFrame:
+def train_and_score(docs: DataFrame, share: float = 0.0, broadcast: float = SHARE) -> DataFrame:
     """Learn from the documents that aren't held out and score all.  Null
     texts are just an end; null ids count as an empty id text; repeated rows
     are learnt and scored each; extra columns are ignored; an empty table gives
     an empty result."""
     held = held_out(F.col("doc_id"))
-    model, counts = train(docs, ~held, share)
-    return score(docs, held, model, counts)
+    model, facts = train(docs, ~held, share, broadcast=broadcast)
+    return score(docs, held, model, facts)

@@ -79,3 +79,15 @@ def test_empty_and_all_held_out(spark, make_docs):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     got = ngram.train_and_score(make_docs([(held, "a b")])).first()
     assert (got.held_out, got.n_tokens, got.n_known, got.train_tokens, got.base_score) == (True, 3, 0, 0, 0.0)
+
+
+def test_broadcast_part_changes_no_score(spark, make_docs):
+    """Every bigram of two occurrences is kept however small the part of the automaton that is broadcast."""
+    pairs = list(enumerate(corpus())) + [(7000 + i, "odd pair here") for i in range(9)] + [(None, "never rare1 rare1 odd pair never")] * 2
+    docs = make_docs(pairs).repartition(3)
+    want = sorted(brute(pairs, 0)[0], key=str)
+    for broadcast in (0.004, 0.05, 1.0):
+        got = sorted(map(tuple, ngram.train_and_score(docs, broadcast=broadcast).collect()), key=str)
+        assert len(got) == len(want)
+        for a, b in zip(got, want):
+            assert close(a, b), (broadcast, a, b)
