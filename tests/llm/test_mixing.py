@@ -71,3 +71,53 @@ def test_mixed_is_a_permutation(spark, make_docs):
     assert out.columns == docs.columns
     assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def deviation(blocks, weights):
+    """Largest |blocks so far - weight * slots so far| of any source in any phase, at its own blocks."""
+    plan = mixing.Plan(blocks, weights)
+    slots = {(s, j): plan.slot(plan.phase(s, j), s, j) for s, n in sorted(blocks.items()) for j in range(n)}
+    assert sorted(slots.values()) == list(range(sum(blocks.values())))
+    worst = 0
+    for p, start in enumerate(plan.starts):
+        first = dict(zip(plan.names, plan.first[p].tolist()))
+        live = [s for s in blocks if first[s] < blocks[s]]
+        total = sum(Fraction(weights[s]) for s in live)
+        for s in live:
+            w, end = Fraction(weights[s]) / total, plan.first[p + 1][plan.number[s]] if p + 1 < len(plan.starts) else blocks[s]
+            for n in range(int(end) - first[s]):
+                t = slots[s, first[s] + n] - start
+                worst = max(worst, abs(n - w * t), abs(n + 1 - w * (t + 1)))
+    return worst
+
+
+def test_exact_weights_over_many_periods():
+    rest = {f"s{i:02d}": 0.7 / 19 for i in range(19)}
+    weights = {"big": 0.3, **rest}
+    assert deviation({s: int(12_000 * w) for s, w in weights.items()}, weights) < 2
+    rng = random.Random(3)
+    for _ in range(15):
+        names = [f"s{i}" for i in range(rng.choice([1, 2, 3, 9]))]
+        assert deviation({s: rng.randrange(1, 400) for s in names}, {s: rng.random() ** 4 + 1e-6 for s in names}) < 2
+
+
+def test_more_sources_than_a_period_keep_their_weights():
+    weights = {"big": 1 / 3, **{f"s{i:04d}": 2 / 3 / 1200 for i in range(1200)}}
+    plan = mixing.Plan({"big": 1200, **{s: 4 for s in weights if s != "big"}}, weights)
+    at = [plan.slot(plan.phase("big", j), "big", j) for j in range(1200)]
+    assert all(abs(j + 1 - (t + 1) / 3) < 2 for j, t in enumerate(at))
+
+
+def test_default_positions_follow_the_weights(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "big" if i % 10 < 5 else f"s{i % 10}") for i in range(3000)],
+                                 "doc_id bigint, text string, source string").repartition(4)
+    weights = {"big": 0.5003, **{f"s{i}": 0.4997 / 5 for i in range(5, 10)}}
+    got = mixing.positions(docs, weights, block=1).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(3000))
+    seen = Counter()
+    for t, r in enumerate(got[:2900], 1):
+        seen[r.src] += 1
+        assert all(abs(seen[s] - w * t) < 2 for s, w in weights.items())
+    for s in weights:
+        assert [r.doc_id for r in got if r.src == s] == sorted(r.doc_id for r in got if r.src == s)
+    assert mixing.positions(docs.limit(0)).count() == 0
