@@ -1,9 +1,12 @@
 """License scan by an exact set-similarity join of text blocks and templates.
 
 Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters.
-A template of L words is compared with blocks of 2L words that start every L
-words, so any L consecutive words lie in a block.  A block matches if it holds
-at least ``threshold`` of the template's distinct words (containment).
+A template of L words is compared with windows of 2L words: one matches if it
+holds at least ``threshold`` of the template's distinct words (containment).
+``Templates.windows`` looks from every start, as the registered query does.
+``Templates.blocks`` only takes the windows that start every L words: any L
+consecutive words lie in one, which is all that phrases need, but a notice with
+inserted words may straddle two.
 
 All template words are ordered by their document frequency in the whole
 corpus, rarest first.  A block can only reach the threshold if it has one of
@@ -73,16 +76,47 @@ class Templates:
         self.rare = frozenset(self.prefixed)
         self.vocabulary = frozenset(w for item in self.items for w in item[3])
 
-    def blocks(self, ws: list[bytes]) -> Iterator[tuple[int, int, float]]:
-        """(template, first word of the block, containment) of every block that meets its threshold."""
-        if self.rare.isdisjoint(ws):
-            return
+    def places_of(self, ws: list[bytes]) -> dict[bytes, list[int]]:
+        """Where the template words stand; nothing without a word of any prefix."""
         at: dict[bytes, list[int]] = {}
-        for i, w in enumerate(ws):
-            if w in self.vocabulary:
-                at.setdefault(w, []).append(i)
+        if not self.rare.isdisjoint(ws):
+            for i, w in enumerate(ws):
+                if w in self.vocabulary:
+                    at.setdefault(w, []).append(i)
+        return at
+
+    def windows(self, at: Mapping[bytes, list[int]]) -> Iterator[tuple[int, int, float]]:
+        """(template, start, containment) of the best window of every notice that
+        meets its threshold, the first of equals.  ``at``: places_of a text.
+
+        Any window's template words lie in the window that starts at its first
+        one, so only those are swept, with the words in them counted as they come and go."""
         for k in sorted({k for w in at for k in self.prefixed.get(w, ())}):
-            _, template, _, rank, need, prefix = self.items[k]
+            _, template, exact, rank, need, _ = self.items[k]
+            if exact or sum(w in at for w in rank) < need:
+                continue
+            spots = sorted((i, r) for r, w in enumerate(rank) for i in at.get(w, ()))
+            held, size, end, best = [0] * len(rank), 0, 0, (need - 1, 0)
+            for start, first in spots:
+                while end < len(spots) and spots[end][0] < start + 2 * len(template):
+                    size += not held[spots[end][1]]
+                    held[spots[end][1]] += 1
+                    end += 1
+                if size > best[0]:
+                    best = size, start
+                held[first] -= 1
+                size -= not held[first]
+            if best[0] >= need:
+                yield k, best[1], best[0] / len(rank)
+
+    def blocks(self, ws: list[bytes], at: Mapping[bytes, list[int]] | None = None, phrases: bool = False) -> Iterator[tuple[int, int, float]]:
+        """(template, first word of the block, containment) of every block that
+        meets its threshold; ``phrases``: of phrases alone."""
+        at = self.places_of(ws) if at is None else at
+        for k in sorted({k for w in at for k in self.prefixed.get(w, ())}):
+            _, template, exact, rank, need, prefix = self.items[k]
+            if phrases and not exact:
+                continue
             step = len(template)
             found: dict[int, set[int]] = {}
             for r, w in enumerate(rank):
@@ -125,8 +159,8 @@ def templates(docs: DataFrame, phrases=PHRASES, notices=NOTICES, threshold: floa
 
 
 def matching_blocks(docs: DataFrame, index: Templates) -> DataFrame:
-    """Every (document, block, template) at the threshold: doc_id, label,
-    template (its words), block_word (first word of the block), containment."""
+    """Every (document, block, template) at the threshold, blocks starting every
+    template length: doc_id, label, template (its words), block_word (first word of the block), containment."""
     def run(batches):
         def rows():
             for b in batches:
@@ -141,11 +175,12 @@ def matching_blocks(docs: DataFrame, index: Templates) -> DataFrame:
         run, "doc_id bigint, label string, template string, block_word bigint, containment double")
 
 
-def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, threshold: float = THRESHOLD, any_start: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base (places of phrases),
     first_word, last_word (smallest and largest start, else null), base_labels,
-    labels (notices too), score (highest containment of a matching block, 0
-    without one).  Null texts have no word; repeated rows are scanned each;
+    labels (notices too), score (highest containment of a matching window, 0
+    without one).  ``any_start``: notices are looked for from every word, else
+    in blocks that start every template length.  Null texts have no word; repeated rows are scanned each;
     extra columns are ignored; an empty table gives an empty result."""
     index = templates(docs, phrases, notices, threshold)
 
@@ -156,7 +191,12 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, threshold: float = T
                     ws = words(t)
                     base: set[tuple[int, int]] = set()  # (start, phrase)
                     labels, score = set(), 0.0
-                    for k, start, share in index.blocks(ws):
+                    at = index.places_of(ws)
+                    if any_start:
+                        for k, _, share in index.windows(at):
+                            labels.add(index.items[k][0])
+                            score = max(score, share)
+                    for k, start, share in index.blocks(ws, at, phrases=any_start):
                         if not index.items[k][2]:
                             labels.add(index.items[k][0])
                             score = max(score, share)

@@ -87,7 +87,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_license_scan")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordfold.llm import licenses
-    return licenses.scan(common.documents(spark, sf_dir))
+    return licenses.scan(common.documents(spark, sf_dir), any_start=True)
 
 
 @register("op5_lm_scores")

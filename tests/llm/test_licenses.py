@@ -64,3 +64,34 @@ def test_order_is_rarest_first_and_empty(spark, make_docs):
     order = licenses.word_order(docs, frozenset([b"license", b"mit", b"the", b"gnu"]))
     assert order == {b"license": 2, b"mit": 1, b"the": 1}
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def brute_any_start(t):
+    """labels and score by the window of 2L words at every start."""
+    ws = brute_words(t)
+    labels = {lab for p, lab in licenses.PHRASES.items() for i in range(len(ws)) if ws[i:i + len(p.split())] == p.split()}
+    score = 1.0 if labels else 0.0
+    for lab, ts in licenses.NOTICES.items():
+        for n in map(str.split, ts):
+            share = max((len(set(n) & set(ws[s:s + 2 * len(n)])) / len(set(n)) for s in range(len(ws))), default=0)
+            if share * len(set(n)) >= math.ceil(licenses.THRESHOLD * len(set(n)) - 1e-9) - 1e-9:
+                labels.add(lab)
+                score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def test_inserted_words_at_any_offset(spark, make_docs):
+    texts = ["pad " * k + n + " and more text" * 3 for k in range(9) for n in (
+        "licensed under the terms of the apache license version 2 0", "released under the terms of the mit license")]
+    rng = random.Random(8)
+    for _ in range(120):
+        w = rng.choice([t for v in licenses.NOTICES.values() for t in v]).split()
+        for _ in range(rng.choice([0, 1, 3, len(w) - 1, len(w) + 1])):
+            w.insert(rng.randrange(1, len(w)), rng.choice(["other", "the", "x", "of"]))
+        if rng.random() < .3:
+            w[rng.randrange(len(w))] = "other"
+        texts.append("pad " * rng.randrange(40) + " ".join(w) + " tail" * rng.randrange(40))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(make_docs(texts), any_start=True).collect()}
+    want = {i: brute_any_start(t) for i, t in enumerate(texts)}
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-12 for i in want)
+    assert all(want[i][0] == ("apache-2.0", "mit")[i % 2] for i in range(18))
