@@ -9,7 +9,8 @@ of each minimum; the share of equal entries estimates Jaccard likeness.
 
 ``near_duplicates`` joins bands of signature rows in Spark and verifies exact
 Jaccard likeness; ``with_next`` fingerprints every document and the same
-document with its end exchanged for the beginning of the next one.
+document with its end exchanged for the beginning of the next one;
+``fingerprints`` does both, as the registered query.
 """
 from __future__ import annotations
 
@@ -80,18 +81,18 @@ def exchanged(text: str, other: str) -> str:
 
 # ------------------------------------------------------------- with_next
 
-_ROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()),
+_ROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n_chars", pa.int64()),
                   ("edited_sha256", pa.binary()), ("fp", pa.binary()), ("edited_fp", pa.binary()),
                   ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
-_DDL = ("kind int, part int, doc_id bigint, n_chars bigint, edited_sha256 binary, fp binary, edited_fp binary, "
+_DDL = ("kind int, part int, doc_id bigint, tie bigint, n_chars bigint, edited_sha256 binary, fp binary, edited_fp binary, "
         "near_edited double, near_next double, text string")
 _DONE, _HEAD, _TAIL = 0, 1, 2
 
 
-def _result(doc_id, text: str, sig: np.ndarray, other: str, other_sig: np.ndarray) -> tuple:
+def _result(doc_id, tie, text: str, sig: np.ndarray, other: str, other_sig: np.ndarray) -> tuple:
     edited = exchanged(text, other)
     sig2 = signature(shingle_hashes(edited))
-    return (_DONE, None, doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).digest(),
+    return (_DONE, None, doc_id, tie, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).digest(),
             fingerprint_bytes(sig), fingerprint_bytes(sig2), likeness(sig, sig2), likeness(sig, other_sig), None)
 
 
@@ -103,23 +104,23 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         last = None
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), common.texts(b.column("text"))):
+            for doc_id, tie, text in zip(b.column("doc_id").to_pylist(), b.column("tie").to_pylist(), common.texts(b.column("text"))):
                 sig = signature(shingle_hashes(text))
                 if last is None:
-                    yield (_HEAD, part, doc_id, *[None] * 6, text)
+                    yield (_HEAD, part, doc_id, tie, *[None] * 6, text)
                 else:
                     yield _result(*last, text, sig)
-                last = (doc_id, text, sig)
+                last = (doc_id, tie, text, sig)
         if last is not None:
-            yield (_TAIL, part, last[0], *[None] * 6, last[1])
+            yield (_TAIL, part, *last[:2], *[None] * 6, last[2])
     return common.rows_to_batches(rows(), _ROW, 500)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for b in batches:
-            for doc_id, text, other in zip(b.column("doc_id").to_pylist(), common.texts(b.column("text")), common.texts(b.column("other"))):
-                yield _result(doc_id, text, signature(shingle_hashes(text)), other, signature(shingle_hashes(other)))
+            for doc_id, tie, text, other in zip(b.column("doc_id").to_pylist(), b.column("tie").to_pylist(), common.texts(b.column("text")), common.texts(b.column("other"))):
+                yield _result(doc_id, tie, text, signature(shingle_hashes(text)), other, signature(shingle_hashes(other)))
     return common.rows_to_batches(rows(), _ROW, 500)
 
 
@@ -134,20 +135,25 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Texts move once, to range partitions in that order; only the first and last
     row of each partition meet their neighbours by a join."""
+    return _with_next(docs).drop("tie")
+
+
+def _with_next(docs: DataFrame) -> DataFrame:
+    """``with_next`` with ``tie``, the hash of the text."""
     common.bounded_batches(docs.sparkSession)
     order = [F.desc_nulls_last("doc_id"), F.desc("tie")]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie")) \
-        .repartitionByRange(common.wide_partitions(docs), *order).sortWithinPartitions(*order).drop("tie")
+        .repartitionByRange(common.wide_partitions(docs), *order).sortWithinPartitions(*order)
     out = common.written(rows.mapInArrow(_along, _DDL), "minhash")
     heads, tails = out.where(F.col("kind") == _HEAD), out.where(F.col("kind") == _TAIL)
     around = Window.orderBy("part")  # one row a partition
     follow = heads.select(F.col("part").alias("own"), F.coalesce(
         F.lead("part").over(around), F.first("part").over(around)).alias("follow"))
-    ends = tails.select("part", "doc_id", "text").join(follow, F.col("part") == F.col("own")).drop("part", "own") \
-        .join(heads.select("part", F.col("text").alias("other")), F.col("follow") == F.col("part")).select("doc_id", "text", "other")
+    ends = tails.select("part", "doc_id", "tie", "text").join(follow, F.col("part") == F.col("own")).drop("part", "own") \
+        .join(heads.select("part", F.col("text").alias("other")), F.col("follow") == F.col("part")).select("doc_id", "tie", "text", "other")
     done = out.where(F.col("kind") == _DONE).union(ends.mapInArrow(_across, _DDL))
     text = lambda c: F.lower(F.hex(c))
-    return done.select("doc_id", "n_chars", text("edited_sha256").alias("edited_sha256"), text("fp").alias("fingerprint"),
+    return done.select("doc_id", "tie", "n_chars", text("edited_sha256").alias("edited_sha256"), text("fp").alias("fingerprint"),
                        text("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
@@ -203,6 +209,18 @@ def near_duplicates(docs: DataFrame, threshold: float = LIKENESS) -> DataFrame:
     word link among themselves.  Null ids never name a class that has another.
     Only sets that share a band with another are moved, and a bucket's sets meet
     in blocks of ``CELL``; a block pair emits a forest, never all pairs."""
+    return _classes(docs, threshold).drop("tie")
+
+
+def fingerprints(docs: DataFrame, threshold: float = LIKENESS) -> DataFrame:
+    """``with_next`` of every row and its ``class_id`` of ``near_duplicates``.
+    Rows that agree in id and text are in one class."""
+    classes = _classes(docs, threshold).groupBy(F.col("doc_id").alias("id"), F.col("tie").alias("t")).agg(F.min("class_id").alias("class_id"))
+    return _with_next(docs).join(classes, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("t")), "left").drop("tie", "id", "t")
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """``near_duplicates`` with ``tie``, the hash of the text."""
     common.bounded_batches(docs.sparkSession)
     width = PERMS // BANDS
 
@@ -212,11 +230,11 @@ def near_duplicates(docs: DataFrame, threshold: float = LIKENESS) -> DataFrame:
             raw = [x.astype("<u8").tobytes() for x in h]
             sig = [signature(x) for x in h]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column("doc_id"), "name": pa.array([xxhash.xxh3_64_intdigest(r) - 2**63 for r in raw], pa.int64()),
+                "doc_id": b.column("doc_id"), "tie": b.column("tie"), "name": pa.array([xxhash.xxh3_64_intdigest(r) - 2**63 for r in raw], pa.int64()),
                 "bands": pa.array([[xxhash.xxh64_intdigest(s[i * width:(i + 1) * width].tobytes(), i) - 2**63 for i in range(BANDS)]
                                    for s in sig], pa.list_(pa.int64())), "hashes": pa.array(raw, pa.binary())})
-    marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text") \
-        .mapInArrow(sets, "doc_id bigint, name bigint, bands array<bigint>, hashes binary")
+    marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie")) \
+        .mapInArrow(sets, "doc_id bigint, tie bigint, name bigint, bands array<bigint>, hashes binary")
     marked = common.written(marked, "shingle-sets")
     nodes = marked.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     band = common.written(nodes.select("name", F.explode("bands").alias("key")), "bands")
@@ -228,11 +246,13 @@ def near_duplicates(docs: DataFrame, threshold: float = LIKENESS) -> DataFrame:
         F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "key", "name", F.greatest("own", "other").alias("x"), F.least("own", "other").alias("y"),
         (F.col("own") == F.greatest("own", "other")).alias("home"))
-    full = marked.groupBy("name").agg(F.first("hashes").alias("hashes"))
+    met = common.written(band.join(crowd, "key").select("name").distinct(), "minhash-met")
+    full = marked.join(met, "name", "leftsemi").groupBy("name").agg(F.first("hashes").alias("hashes"))
     placed = cells.join(full, "name").repartition(common.wide_partitions(docs), "key", "x", "y").sortWithinPartitions("key", "x", "y", "name")
     edges = placed.select("key", "x", "y", "name", "hashes", "home").mapInArrow(_verified(threshold), "a bigint, b bigint")
     roots = nodes.select("name", "rep").join(components(edges), F.col("name") == F.col("node"), "left") \
         .select("name", "rep", F.coalesce("root", "name").alias("root"))
     roots = common.written(roots, "minhash-roots")
     first = roots.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return marked.select("doc_id", "name").join(roots.join(first, "root").select("name", "class_id"), "name").select("doc_id", "class_id")
+    return marked.select("doc_id", "tie", "name").join(roots.join(first, "root").select("name", "class_id"), "name") \
+        .select("doc_id", "tie", "class_id")

@@ -81,7 +81,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_fingerprints")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordfold.llm import minhash
-    return minhash.with_next(common.documents(spark, sf_dir))
+    return minhash.fingerprints(common.documents(spark, sf_dir))
 
 
 @register("op2_license_scan")

@@ -86,3 +86,16 @@ def test_near_duplicates_equal_brute_force(spark, make_docs):
             low[find(i)] = min(d, low.get(find(i), d))
     want = sorted(((d, low.get(find(i))) for i, (d, _) in enumerate(pairs)), key=str)
     assert sorted(map(tuple, got), key=str) == want
+
+
+def test_registered_query_returns_classes(spark, make_docs, tmp_path):
+    from recordfold.llm import queries
+    pairs = [(500 - i, t) for i, t in enumerate(corpus(15))] + [(None, None), (None, None), (7, "seven is here twice"), (7, "but as another text")]
+    docs = make_docs(pairs)
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.QUERIES["op1_fingerprints"](spark, str(tmp_path))
+    plain = minhash.with_next(docs)
+    assert sorted(map(str, out.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    got = sorted(map(tuple, out.select("doc_id", "class_id").collect()), key=str)
+    assert got == sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=str)
+    assert len({c for _, c in got}) < len(got) - 3
