@@ -29,8 +29,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of every document."""
-    return bpe_codec.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Ids and decoded text of every document, and its ``position`` in the mix:
+    the mixing stage's order, from the files it was written to."""
+    return bpe_codec.encoded(common.in_file_order(docs, "position"), public_tokenizers.path("word_bpe_49k.json"), ("position",))
 
 
 STAGES = [("quality_rules", quality_rules), ("simhash_neardup", near_duplicates), ("pii", personal_data),

@@ -198,11 +198,11 @@ def encoder(docs: DataFrame, path: str) -> Callable[[list[str]], list[tuple[int,
     return lambda texts: _codec(path, shared).encode(texts)
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
+def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids (decimal, space-joined) and
-    decoded text.  Null texts count as empty: no id, empty decoded text.
+    decoded text, and the columns ``keep`` as they are.  Null texts count as empty: no id, empty decoded text.
     Repeated rows are encoded each; extra columns are ignored."""
-    return _map(docs, path, "ids string, decoded string", lambda e: (e[1], e[2]))
+    return _map(docs, path, "ids string, decoded string", lambda e: (e[1], e[2]), keep)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -211,7 +211,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return _map(docs, path, "ids_sha256 string, decoded_sha256 string", lambda e: (sha(e[1]), sha(e[2])))
 
 
-def _map(docs: DataFrame, path: str, columns: str, row) -> DataFrame:
+def _map(docs: DataFrame, path: str, columns: str, row, keep: tuple[str, ...] = ()) -> DataFrame:
     common.bounded_batches(docs.sparkSession)
     encode = encoder(docs, path)
     names = [c.split()[0] for c in columns.split(",")]
@@ -222,6 +222,6 @@ def _map(docs: DataFrame, path: str, columns: str, row) -> DataFrame:
             cols = list(zip(*map(row, out))) or [(), ()]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "n_tokens": pa.array([e[0] for e in out], pa.int64()),
-                **{c: pa.array(v, pa.string()) for c, v in zip(names, cols)}})
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, {columns}")
+                **{c: pa.array(v, pa.string()) for c, v in zip(names, cols)}, **{c: b.column(c) for c in keep}})
+    kind = lambda c: f"{c} {docs.schema[c].dataType.simpleString()}"
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join([kind("doc_id"), "n_tokens bigint", columns, *map(kind, keep)]))

@@ -7,7 +7,9 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from recordfold.session import scratch_path
 
@@ -55,6 +57,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_file_order(df: DataFrame, name: str) -> DataFrame:
+    """``df``, a table as Spark wrote it, with the column ``name``: the row's
+    number from 0 in the order of the part files, whatever order a scan gives
+    them.  A table that isn't read from files is written first."""
+    number = lambda p: F.coalesce(F.regexp_extract("_file", p, 1).try_cast("bigint"), F.lit(0))
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")]
+    try:
+        rows = df.select("*", *place)
+        rows.schema
+    except AnalysisException:
+        rows = written(df, "in-order").select("*", *place)
+    files = rows.groupBy("_file").agg((F.max("_index") + 1).alias("_rows"))
+    # a row per file: its part number, then its number in the task
+    order = Window.orderBy(number(r"part-(\d+)"), number(r"-c(\d+)[^/]*$"), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = files.select("_file", F.coalesce(F.sum("_rows").over(order), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_file").withColumn(name, F.col("_before") + F.col("_index")).drop("_file", "_index", "_before")
+
+
 def wide_partitions(df: DataFrame) -> int:
     """Partitions for an explicit ``repartition``: the session's shuffle setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

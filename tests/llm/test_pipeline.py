@@ -35,3 +35,24 @@ def test_empty_table(spark, make_docs):
     for _, stage in cp.STAGES:
         out = stage(spark, docs, "")
         assert out.count() == 0
+
+
+def test_positions_follow_the_mix(spark, tmp_path):
+    rows = [(i, f"text {i} " * (1 + 40 * (i % 7 == 0)), "big" if i % 2 else f"s{i % 3}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    weights = {"big": 0.5, "s0": 0.3, "s1": 0.1, "s2": 0.1}
+    mixing.mixed(docs, weights, block=1).write.parquet(str(tmp_path / "mix"))
+    out = cp.encode(spark, spark.read.parquet(str(tmp_path / "mix")), "").orderBy("position").collect()
+    assert [r.position for r in out] == list(range(600))
+    want = mixing.positions(docs, weights, block=1).orderBy("position").collect()
+    assert [r.doc_id for r in out] == [r.doc_id for r in want]
+    source = {i: s for i, _, s in rows}
+    for t in range(20, 320, 20):
+        seen = Counter(source[r.doc_id] for r in out[:t])
+        assert all(abs(seen[s] - w * t) < 2 for s, w in weights.items())
+    assert "position" in cp.run(spark, _documents(docs, tmp_path)).columns
+
+
+def _documents(docs, folder):
+    docs.withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("bigint")).write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
