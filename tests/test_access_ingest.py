@@ -4,7 +4,7 @@ import tempfile
 from recordfold.operators import access, scope
 from recordfold.schemas import TABLES
 from recordfold.sources import ingest
-from conftest import rows
+from helpers import rows
 
 
 def _acc(spark):

@@ -9,7 +9,7 @@ from recordfold.operators.positional import positional_index
 from recordfold.operators.textmatch import find_passages
 from recordfold.schemas import ANNOTATIONS
 from fixtures import tables
-from conftest import rows
+from helpers import rows
 
 
 def _by_patient(spark, latest=None):

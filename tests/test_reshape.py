@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from recordfold.operators import reshape
-from conftest import rows
+from helpers import rows
 
 D = dt.date
 

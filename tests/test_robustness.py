@@ -8,7 +8,7 @@ from recordfold.operators import access, rules
 from recordfold.operators.positional import positional_index
 from recordfold.schemas import RULE_PARAMS, RULES, TABLES
 from recordfold.sources import decisions, ingest
-from conftest import rows
+from helpers import rows
 
 
 def test_null_bucket_keeps_its_rows(spark):

@@ -3,7 +3,7 @@ import tempfile
 from recordfold.operators import rules
 from recordfold.schemas import RULE_COMMENTS, RULE_PARAMS
 from recordfold.sources import rule_store
-from conftest import rows
+from helpers import rows
 
 
 def test_decode_encode(spark):

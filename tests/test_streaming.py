@@ -7,7 +7,7 @@ from recordfold.operators import overlay
 from recordfold.schemas import ANNOTATIONS
 from recordfold.sources import decisions
 from recordfold.streaming import decisions as stream
-from conftest import rows
+from helpers import rows
 
 T0 = dt.datetime(2025, 2, 1, 8, 0, 0)
 
