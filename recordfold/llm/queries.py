@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordfold.llm import common, quality_sql
+from recordfold.llm import common, hard_negatives_sql, quality_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,3 +94,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordfold.llm import ngram
     return ngram.train_and_score(common.documents(spark, sf_dir))
+
+
+@register("op11_hard_negatives", hard_negatives_sql.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordfold.llm import hard_negatives
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(v.withColumn("label", moved))
