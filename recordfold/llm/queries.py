@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordfold.llm import common, hard_negatives_sql, quality_sql
+from recordfold.llm import common, fill_middle_sql, hard_negatives_sql, quality_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -102,3 +102,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(v.withColumn("label", moved))
+
+
+@register("op13_fill_middle", fill_middle_sql.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordfold.llm import fill_middle
+    return fill_middle.digests(common.documents(spark, sf_dir))
