@@ -108,3 +108,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordfold.llm import fill_middle
     return fill_middle.digests(common.documents(spark, sf_dir))
+
+
+@register("op12_secrets")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordfold.llm import secrets
+    return secrets.report(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
