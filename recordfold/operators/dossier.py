@@ -77,7 +77,7 @@ def highlights_by_source(suggestions: DataFrame, pos: str = "pos") -> DataFrame:
     """(patient, stay, source_kind, source_id) -> list of highlight passages in
     suggestion order; NULL and empty passages are skipped."""
     h = suggestions.where(F.col("highlight").isNotNull() & (F.col("highlight") != ""))
-    lst = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("highlight").alias("h"))))
+    lst = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("highlight").alias("h"))))
     return h.groupBy(*STAY_KEY, "source_kind", "source_id") \
         .agg(F.transform(lst, lambda x: x["h"]).alias("highlights"))
 
@@ -117,7 +117,7 @@ def assemble_forms(fiches: DataFrame, pos: str = "pos") -> DataFrame:
     ``champ_ordre`` (nulls last, then file order); forms keep first-seen order
     through ``first_pos``."""
     order = F.struct(_ordre_key("champ_ordre").alias("o"), F.col(pos).alias("p"))
-    fields = F.array_sort(F.collect_list(F.struct(
+    fields = F.sort_array(F.collect_list(F.struct(
         order.alias("k"), F.col("champ_label").alias("label"), F.col("champ_valeur").alias("valeur"))))
     return (fiches.where(F.col("fiche_id").isNotNull())
             .groupBy(*STAY_KEY, "fiche_id")
@@ -133,10 +133,22 @@ def assemble_forms(fiches: DataFrame, pos: str = "pos") -> DataFrame:
 def _ordered_list(df: DataFrame, key: Sequence[str], pos: str, fields: Sequence[Column],
                   name: str) -> DataFrame:
     """Per key, ``name`` = array of struct(fields) in ``pos`` order."""
-    lst = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("_p"), F.struct(*fields).alias("_v"))))
+    lst = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("_p"), F.struct(*fields).alias("_v"))))
     return df.groupBy(*key).agg(F.transform(lst, lambda x: x["_v"]).alias(name))
 
 
+def _numbered_list(meds: DataFrame, chrono: Column, fields: Sequence) -> DataFrame:
+    """Doses of a stay: ids number the list in file order, then it is put in
+    time order (file order among equals)."""
+    in_file = F.sort_array(F.collect_list(F.struct(F.col("pos").alias("_p"), chrono.alias("_c"), F.struct(*fields).alias("_v"))))
+    names = [c if isinstance(c, str) else "dateAdministration" for c in fields]
+    dose = lambda x, i: F.struct(
+        x["_c"].alias("c"), i.alias("i"), F.struct(F.concat("id_sejour", F.lit("-med-"), i.cast("string")).alias("id"),
+                                                   *[x["_v"][n].alias(n) for n in names]).alias("v"))
+    lists = meds.groupBy(*STAY_KEY).agg(in_file.alias("_l"))
+    return lists.select(*STAY_KEY, F.transform(F.sort_array(F.transform("_l", dose)), lambda x: x["v"]).alias("medicaments"))
+
+
 def order_bucket(pos: str, dtype) -> Column | None:
     """A coarse value that never decreases along ``pos``: cuts a hot stay into
     ordered buckets for ``positional_index``."""
@@ -184,15 +196,8 @@ def _stays(t: Mapping[str, DataFrame], latest: DataFrame | None) -> DataFrame:
                                              F.col("pos").alias("p")))
 
     meds = t["medicaments"]
-    from recordfold.operators.positional import positional_index
-    # ids follow file order, numbered bucket by bucket within a hot stay
-    meds = positional_index(meds, k, ["pos"], bucket=order_bucket("pos", meds.schema["pos"].dataType), name="_i")
-    # displayed in time order (then file order)
-    meds = meds.withColumn("_chrono", F.struct(F.col("date_administration").isNull().alias("n"),
-                                               F.col("date_administration").alias("d"), F.col("pos").alias("p")))
-    med_fields = [F.concat(F.col("id_sejour"), F.lit("-med-"), F.col("_i").cast("string")).alias("id"),
-                  "nom", "qte", "unite", "atc", "ucd",
-                  F.col("date_administration").alias("dateAdministration")]
+    chrono = F.struct(F.col("date_administration").isNull().alias("n"), F.col("date_administration").alias("d"))
+    med_fields = ["nom", "qte", "unite", "atc", "ucd", F.col("date_administration").alias("dateAdministration")]
 
     codes = t["codes_valides"]
     sugg = sug
@@ -237,7 +242,7 @@ def _stays(t: Mapping[str, DataFrame], latest: DataFrame | None) -> DataFrame:
                                     ["date", safe_int("fc", t["constantes"].schema["fc"].dataType, None)
                                      .alias("fc"), "ta", "spo2", "temp", "poids"], "constantes"),
         "biologie": _ordered_list(t["biologie"], k, "pos", ["date", "code", "valeur", "unite"], "biologie"),
-        "medicaments": _ordered_list(meds, k, "_chrono", med_fields, "medicaments"),
+        "medicaments": _numbered_list(meds, chrono, med_fields),
         "codesValides": _ordered_list(codes, k, code_pos, code_fields, "codesValides"),
         "suggestions": _ordered_list(sugg, k, "pos", sug_fields, "suggestions"),
     }
@@ -269,7 +274,7 @@ def _per_patient(t: Mapping[str, DataFrame], per_stay: DataFrame) -> DataFrame:
     stay_map = per_stay.groupBy("patient_id").agg(
         F.map_from_entries(F.collect_list(F.struct("id_sejour", "stay"))).alias("sejours"))
     stay_order = st.groupBy("patient_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("id_sejour").alias("s")))),
+        F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("id_sejour").alias("s")))),
                     lambda x: x["s"]).alias("sejourOrder"))
 
     def outside(name, fields):

@@ -13,6 +13,8 @@ Mapping (keys stay numeric inside the plans and become text at the edges):
 """
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -252,10 +254,11 @@ def domain_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "patient_id", "id_sejour", _s("seq").alias("event_id"), F.to_date("timestamp").alias("date"),
         F.date_format("timestamp", "HH:mm").alias("heure"), F.col("event_type").alias("type"),
         F.concat(F.lit("item "), _s("k")).alias("titre"), none().alias("detail"), none().alias("uf"), F.col("seq").alias("pos"))
-    pages = table(spark, sf_dir, "pages").select("page_id", "url").join(orders, F.col("page_id") == F.col("o_orderkey"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").join(orders, F.floor(F.col("page_id") / 3) == F.col("o_orderkey"))
+    noted = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 400).cast("int"))
     t["observations"] = pages.select(
-        _s("o_custkey").alias("patient_id"), F.when(F.col("page_id") % 5 != 0, _s("page_id")).alias("id_sejour"),
-        _s("page_id").alias("observation_id"), none("date").alias("date"), none().alias("uf"), F.lit("page").alias("categorie"),
+        _s("o_custkey").alias("patient_id"), F.when(F.col("page_id") % 5 != 0, _s("o_orderkey")).alias("id_sejour"),
+        _s("page_id").alias("observation_id"), F.when(F.col("page_id") % 7 != 0, noted).alias("date"), none().alias("uf"), F.lit("page").alias("categorie"),
         F.col("url").alias("texte"), F.col("page_id").cast("bigint").alias("pos"))
     t["constantes"] = o.select(
         _s("o_custkey").alias("patient_id"), _s("o_orderkey").alias("id_sejour"),
@@ -303,5 +306,35 @@ def domain_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.lit(None).cast("string").alias("libelle"), F.lit("50").alias("confiance"),
         F.lit("document").alias("source_kind"), F.col("doc_id").alias("source_id"),
         F.lit(None).cast("string").alias("justification"), F.lit(None).cast("string").alias("regle_id"),
-        F.col("passage").alias("highlight"), F.col("item_id").alias("pos"))
+        F.when(F.col("item_id") % 5 != 0, F.when(F.col("item_id") % 7 != 0, F.col("passage")).otherwise("")).alias("highlight"),
+        F.col("item_id").alias("pos"))
     return t
+
+
+def record_log(t: Mapping[str, DataFrame]) -> DataFrame:
+    """One reviewer's decisions on the items of ``domain_tables``: every third
+    supplier's codes are deleted, restored, amended or cancelled in turn, four
+    of five suggestions are decided on, and every eleventh stay has a code added
+    by hand, every second of them deleted again."""
+    k = F.col("pos")["l_suppkey"]
+    said = lambda n, words: F.element_at(F.array(*[F.lit(w) for w in words]), (n + 1).cast("int"))
+    row = lambda kind, item, ts, seq, action, code, libelle, type_code=F.lit(None): [
+        ts.cast("timestamp_ntz").alias("timestamp"), F.lit("u").alias("user"), "patient_id", "id_sejour", F.lit(kind).alias("item_type"),
+        item.alias("item_id"), action.alias("action"), code.alias("code"), libelle.alias("libelle"),
+        type_code.cast("string").alias("type_code"), F.lit(None).cast("string").alias("commentaire"), seq.cast("bigint").alias("seq")]
+    done = said(F.floor(k / 3) % 4, ("supprimé", "restauré", "modifié", "annulé"))
+    codes = t["codes_valides"].where(k % 3 == 0).select(*row(
+        "code_valide", F.col("code_id"), F.col("pos")["l_shipdate"], k, done, F.when(done == "modifié", F.concat(F.lit("N"), _s(k))),
+        F.when(done == "modifié", F.concat(F.lit("new "), _s(k)))))
+    item = F.col("pos")
+    done = said(item % 5 - 1, ("validé", "rejeté", "modifié", "annulé"))
+    sugg = t["suggestions"].where(item % 5 != 0).select(*row(
+        "suggestion", F.col("suggestion_id"), F.lit("2024-05-01"), F.lit(1), done, F.when(done == "modifié", F.concat(F.lit("S"), _s(item))),
+        F.when(done == "modifié", F.concat(F.lit("amended "), "source_id"))))
+    by_hand = t["sejours"].where(F.col("pos") % 11 == 0).withColumn("_n", F.explode(
+        F.when(F.col("pos") % 22 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    added = F.col("_n") == 1
+    manual = by_hand.select(*row(
+        "manuel", F.concat(F.lit("man-"), "id_sejour"), F.col("entree"), F.col("_n"), F.when(added, "ajouté").otherwise("supprimé"),
+        F.when(added, F.concat(F.lit("M"), "id_sejour")), F.lit(None).cast("string"), F.when(added, "CCAM")))
+    return codes.unionByName(sugg).unionByName(manual)
