@@ -29,7 +29,8 @@ def corpus():
     rng = random.Random(4)
     fixed = [None, "", "no data", "a@b.c_d@e.f x", "a@b@c.d", "..@-.-", "x@y.", "1.2.3.4.5.6.7.8 256.1.1.1 0001.002.3.4", "9" * 400 + ".1.1.1",
              "4111 1111 1111 1111 and 4111-1111-1111-1112, 5500005555555559", "+1 (415) 555-0100; +1.2", "+12345678901234567",
-             "é🙂 mail: q.w+e@mail-1.example.com, call +33 1 23 45 67 89.", "IBAN DE89 3704 0044 0532 0130 00 x", "GB82WEST12345698765432",
+             "é🙂 mail: q.w+e@mail-1.example.com, call +33 1 23 45 67 89.", "IBAN DE89 3704 0044 0532 0130 00 x", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00 AND", "DE89 3704 0044 0532 0130 00 A",
+             "pay de89370400440532013000 now", "GB82 WEST 1234 5698 7654 32 EUR 20", "XX89370400440532013000 DE8937040044053201300", 
              "GB82WEST12345698765433", "amex card 378282246310005", "378282246310005", "a" * 50_000, "1 " * 3000, "+1((((((" * 500, "a.b" * 20_000 + "@x.y"]
     alphabet = ["@", ".", "-", " ", "+", "(", ")", "_", "a", "Z", "1", "22", "255", "4111111111111111", "é", "🙂", "\n", "x@y.z", "10.0.0.1"]
     return fixed + ["".join(rng.choice(alphabet) for _ in range(rng.choice([5, 20, 60]))) for _ in range(300)]
@@ -47,6 +48,13 @@ def test_report_has_exactly_the_base_spans(spark, make_docs):
     at = texts.index("IBAN DE89 3704 0044 0532 0130 00 x")
     assert "iban:5:32" in added[at]
     assert "iban:0:22" in added[texts.index("GB82WEST12345698765432")] and "iban" not in added[texts.index("GB82WEST12345698765433")]
+    want = {"DE89 3704 0044 0532 0130 00 AND": "iban:0:27", "DE89 3704 0044 0532 0130 00 A": "iban:0:27", "pay de89370400440532013000 now": "iban:4:26",
+            "GB82 WEST 1234 5698 7654 32 EUR 20": "iban:0:27"}
+    assert all(span in added[texts.index(t)].split(",") for t, span in want.items())
+    assert "iban" not in added[texts.index("XX89370400440532013000 DE8937040044053201300")]
+    for r in pii.report(docs).collect():
+        assert len(r.scores.split(",")) == len(r.spans.split(",")) and all(0.5 <= float(x) <= 1 for x in r.scores.split(",") if x)
+    assert pii.report(docs.limit(0)).count() == 0
     assert "short_card:10:25" in added[texts.index("amex card 378282246310005")] and "short" not in added[texts.index("378282246310005")]
 
 
