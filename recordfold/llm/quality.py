@@ -29,8 +29,8 @@ COMMON_WORDS = {
 }
 CLASSES = ("lower", "upper", "digit", "letter", "mark", "other")
 MIN_CHARS, MIN_WORDS = 200, 50
-#: Rejected beyond the first, or beyond the other two together.
-MAX_CLASS_DISTANCE, ODD_CLASS_DISTANCE, ODD_WORD_DISTANCE = 0.32, 0.14, 0.30
+#: Rejected beyond either of the first two, or beyond the other two together.
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, ODD_CLASS_DISTANCE, ODD_WORD_DISTANCE = 0.32, 0.42, 0.14, 0.30
 BASE_MIN_WORDS, BASE_MAX_REPEAT, WINDOW = 20, 30, 8
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -177,12 +177,12 @@ def judged(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
         F.when(chars >= MIN_CHARS, js_distance(F.col("q.classes"), F.col("ref_classes"))).alias("class_distance"),
         F.when(n >= MIN_WORDS, js_distance(F.col("q.common"), F.col("ref_common"))).alias("word_distance"))
     chars_off, words_off = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
-    far = (chars_off > MAX_CLASS_DISTANCE) | ((chars_off > ODD_CLASS_DISTANCE) & (words_off > ODD_WORD_DISTANCE))
+    far = (chars_off > MAX_CLASS_DISTANCE) | (words_off > MAX_WORD_DISTANCE) | ((chars_off > ODD_CLASS_DISTANCE) & (words_off > ODD_WORD_DISTANCE))
     return out.withColumn("kept", ~(F.col("q.base_failed") | far))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    """One row per document: base values, distances and verdict."""
+    """One row per document: base values, distances and verdict; none for an empty table."""
     return judged(docs).select("row.doc_id", *[f"q.{c}" for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
         "kept", "class_distance", "word_distance")

@@ -52,5 +52,5 @@ d AS (SELECT g.*, CASE WHEN word_chars >= {q.MIN_CHARS} AND rc IS NOT NULL THEN
              CASE WHEN n_words >= {q.MIN_WORDS} AND rw IS NOT NULL THEN {_distance('common', 'rw')} ELSE 0 END AS wd
       FROM g LEFT JOIN r ON r.lang = g.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR cd > {q.MAX_CLASS_DISTANCE} OR (cd > {q.ODD_CLASS_DISTANCE} AND wd > {q.ODD_WORD_DISTANCE})) AS kept
+       NOT (base_failed OR cd > {q.MAX_CLASS_DISTANCE} OR wd > {q.MAX_WORD_DISTANCE} OR (cd > {q.ODD_CLASS_DISTANCE} AND wd > {q.ODD_WORD_DISTANCE})) AS kept
 FROM d"""

@@ -79,7 +79,7 @@ def test_report_equals_brute_force(spark, make_docs):
             wd = brute_distance(w, refs[r.lang][1]) if sum(w) >= quality.MIN_WORDS else None
         for have, want in ((g.class_distance, cd), (g.word_distance, wd)):
             assert (have is None) == (want is None) and (want is None or abs(have - want) < 1e-9)
-        far = (cd or 0) > quality.MAX_CLASS_DISTANCE or (
+        far = (cd or 0) > quality.MAX_CLASS_DISTANCE or (wd or 0) > quality.MAX_WORD_DISTANCE or (
             (cd or 0) > quality.ODD_CLASS_DISTANCE and (wd or 0) > quality.ODD_WORD_DISTANCE)
         assert g.kept == (not base[5] and not far)
 
@@ -108,3 +108,15 @@ def test_query_equals_its_duckdb_twin(spark):
     got = queries.QUERIES["op3_quality_rules"](spark, sf)
     want = con.execute(queries.ORACLE["op3_quality_rules"]).df()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want[got.columns].values.tolist()))
+
+
+def test_ordinary_letters_without_common_words_are_rejected(spark, make_docs):
+    rng = random.Random(7)
+    salad = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    plain = [" ".join(rng.choice(quality.COMMON_WORDS["en"] + ["word", "table", "green", "river", "stone"] * 5) for _ in range(300)) for _ in range(30)]
+    docs = make_docs([*plain, salad(400), salad(30)]).withColumn("lang", F.lit("en"))
+    got = {r.doc_id: r for r in quality.quality_report(docs).collect()}
+    assert all(got[i].kept for i in range(30))
+    assert not got[30].kept and not got[30].base_failed and got[30].word_distance > quality.MAX_WORD_DISTANCE
+    assert got[31].kept and got[31].word_distance is None  # too short to judge by its words
+    assert quality.quality_report(docs.limit(0)).count() == 0
