@@ -58,11 +58,10 @@ def patient_list_for(patients: DataFrame, visible: DataFrame, accounts: DataFram
 def account_list(accounts: DataFrame) -> DataFrame:
     """Accounts ordered by name, each with its place in that order.
 
-    The place is counted range by range (no single sorting task): accounts of
-    smaller first characters, then the place among those of the same."""
-    from recordfold.operators.positional import positional_index
-    return positional_index(accounts.select("username", "role"), [F.lit(0)], ["username"],
-                            bucket=F.substring("username", 1, 2), name="place").orderBy("place")
+    The place is counted by sampled ranges of names: no single sorting task,
+    and no range that all names beginning alike would fall into."""
+    from recordfold.operators.positional import ranged_index
+    return ranged_index(accounts.select("username", "role"), [], ["username"], name="place").orderBy("place")
 
 
 def patient_count(accounts: DataFrame, assignments: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordfold.session import materialised
+
 
 def positional_index(df: DataFrame, group: Sequence[Column | str], order: Sequence[Column | str],
                      bucket: Column | None = None, name: str = "idx") -> DataFrame:
@@ -42,3 +44,25 @@ def positional_index(df: DataFrame, group: Sequence[Column | str], order: Sequen
     out = local.join(offsets, [g, b])
     return out.withColumn(name, (F.col("_pos_off") + F.col("_pos_local")).cast("bigint")) \
         .drop(g, b, "_pos_local", "_pos_off")
+
+
+def ranged_index(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "idx") -> DataFrame:
+    """``positional_index`` without a bucket from the caller, for any order: rows
+    are cut into ranges of (group, order) by Spark's sampling and sorted in
+    their ranges, and the positions are the rows' places there plus the counts
+    of the ranges before, a small table of a row per group and range.  A group
+    of any size spreads over ranges (no ``group``: all rows are one).  Rows equal
+    in group and order share a range and follow each other in any order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group, *order]
+    at, part = "_pos_at", "_pos_part"
+    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    ranged = materialised(ranged, "ranged").withColumn(part, F.shiftright(at, 33))  # the partition's number
+    g = F.struct(*group) if group else F.struct(F.lit(0))
+    ranged = ranged.withColumn("_pos_group", g)
+    counts = ranged.groupBy("_pos_group", part).agg(F.count(F.lit(1)).alias("_pos_n"), F.min(at).alias("_pos_first"))
+    before = Window.partitionBy("_pos_group").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pos_group", part, "_pos_first", F.coalesce(F.sum("_pos_n").over(before), F.lit(0)).alias("_pos_before"))
+    return ranged.join(offsets, ["_pos_group", part]) \
+        .withColumn(name, (F.col("_pos_before") + F.col(at) - F.col("_pos_first")).cast("bigint")) \
+        .drop("_pos_group", part, at, "_pos_first", "_pos_before")

@@ -9,8 +9,8 @@ from recordfold.plans import adapters as ad
 from recordfold.plans.oracle import with_ctes
 from recordfold.plans.queries import ORACLE, TS_SQL, register, ts_text
 from recordfold.schemas import ANNOTATIONS, TABLES
-from recordfold.session import scratch_path
-from recordfold.sources import decisions, ingest
+from recordfold.session import materialised, scratch_path
+from recordfold.sources import decisions, ingest, rule_store
 
 
 def _assign(spark, sf_dir):
@@ -348,14 +348,98 @@ def q_export_file(spark, sf_dir):
                        "action", "code", "libelle", "type_code", "commentaire", "seq")
 
 
-@register("tables_roundtrip", with_ctes(["patients", "stays"], """
-SELECT 'patients' AS tbl, patient_id AS k, sexe AS v FROM patients
-UNION ALL SELECT 'sejours', id_sejour, strftime(entree, '%Y-%m-%d') FROM stays"""))
+@register("tables_roundtrip", with_ctes(["log"], """
+SELECT 'patients' AS tbl, CAST(c_custkey AS VARCHAR) AS patient_id, NULL AS id_sejour, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS v, 1 AS n FROM customer
+UNION ALL SELECT 'sejours', CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), o_orderpriority, 1 FROM orders
+UNION ALL SELECT 'constantes', CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), strftime(o_orderdate, '%d/%m'), 1 FROM orders
+UNION ALL SELECT 'parcours', patient_id, id_sejour, CAST(seq AS VARCHAR), 1 FROM log
+UNION ALL SELECT t, CAST(o_custkey AS VARCHAR), CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), count(*)
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey, (VALUES ('medicaments'), ('codes_valides')) k(t) GROUP BY t, o_custkey, l_orderkey, l_partkey
+UNION ALL SELECT 'biologie', CAST(o_custkey AS VARCHAR), CAST(l_orderkey AS VARCHAR), strftime(l_shipdate, '%d/%m'), 2 * count(*)
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey, l_orderkey, strftime(l_shipdate, '%d/%m')
+UNION ALL SELECT 'documents', CAST(o_custkey AS VARCHAR), CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id AS VARCHAR) END, CAST(doc_id AS VARCHAR), 1
+FROM documents JOIN orders ON o_orderkey = doc_id
+UNION ALL SELECT 'fiches', CAST(o_custkey AS VARCHAR), CASE WHEN conv_id % 5 <> 0 THEN CAST(conv_id AS VARCHAR) END, CAST(conv_id AS VARCHAR), count(*)
+FROM conversations JOIN orders ON o_orderkey = conv_id GROUP BY o_custkey, conv_id
+UNION ALL SELECT 'observations', CAST(o_custkey AS VARCHAR), CASE WHEN page_id % 5 <> 0 THEN CAST(o_orderkey AS VARCHAR) END, CAST(page_id AS VARCHAR), 1
+FROM pages JOIN orders ON o_orderkey = page_id // 3
+UNION ALL SELECT 'suggestions', CAST(o_custkey AS VARCHAR), CAST(doc_id AS VARCHAR), CAST(doc_id AS VARCHAR) || '-' || CAST(item_id AS VARCHAR), 1
+FROM documents d JOIN benchmark b ON contains(d.text, b.text) JOIN orders ON o_orderkey = doc_id
+WHERE doc_id % 5 <> 0 AND b.text IS NOT NULL AND b.text <> ''"""))
 def q_tables_roundtrip(spark, sf_dir):
-    """Tables written as files (a fresh folder) and loaded back the tolerant way."""
+    """All eleven tables written as files (a fresh folder) and loaded back the
+    tolerant way: rows by patient, stay and a value of each."""
     base = scratch_path(spark, "tables")
-    ingest.write_tables({"patients": ad.patients(spark, sf_dir).select("patient_id", "sexe", "age"),
-                         "sejours": ad.stays(spark, sf_dir).select("patient_id", "id_sejour", "service", "entree", "sortie")}, base)
-    p, s = (ingest.load_table(spark, base, n) for n in ("patients", "sejours"))
-    return p.select(F.lit("patients").alias("tbl"), F.col("patient_id").alias("k"), F.col("sexe").alias("v")).unionByName(
-        s.select(F.lit("sejours").alias("tbl"), F.col("id_sejour").alias("k"), F.date_format("entree", "yyyy-MM-dd").alias("v")))
+    value = {"patients": "sexe", "sejours": "service", "constantes": "date", "parcours": "event_id", "medicaments": "ucd", "codes_valides": "code",
+             "biologie": "date", "documents": "doc_id", "fiches": "fiche_id", "observations": "observation_id", "suggestions": "suggestion_id"}
+    ingest.write_tables({n: df.drop("pos") for n, df in ad.domain_tables(spark, sf_dir).items()}, base)
+    out = None
+    for name, column in value.items():
+        t = ingest.load_table(spark, base, name)
+        stay = F.col("id_sejour") if "id_sejour" in t.columns else F.lit(None).cast("string")
+        rows = t.select(F.lit(name).alias("tbl"), "patient_id", stay.alias("id_sejour"), F.col(column).cast("string").alias("v"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("tbl", "patient_id", "id_sejour", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("load_damaged", with_ctes(["patients"], """
+SELECT 'row' AS kind, patient_id AS k, sexe AS v FROM patients UNION ALL SELECT 'reject', NULL, 'no_row_read'"""))
+def q_load_damaged(spark, sf_dir):
+    """A folder of files of which one is damaged: the rows of the good ones, and the reject."""
+    base = scratch_path(spark, "damaged")
+    ad.patients(spark, sf_dir).select("patient_id", "sexe", "age").repartition(4).write.parquet(f"{base}/good")
+    spark.range(1).selectExpr("'PAR1 and no more' AS value").coalesce(1).write.text(f"{base}/bad")
+    rows, rejects = ingest.load_files(spark, base, "patients")
+    return rows.select(F.lit("row").alias("kind"), F.col("patient_id").alias("k"), F.col("sexe").alias("v")).unionByName(
+        rejects.select(F.lit("reject").alias("kind"), F.lit(None).cast("string").alias("k"), F.col("reason").alias("v")))
+
+
+@register("one_reviewer", with_ctes(["log"], f"""
+SELECT "user", patient_id, id_sejour, item_id, {TS_SQL.format('"timestamp"')} AS "timestamp", action, seq
+FROM log WHERE "user" = (SELECT min("user") FROM log)"""))
+def q_one_reviewer(spark, sf_dir):
+    """The first reviewer's log, read from their bucket of the written log."""
+    root = scratch_path(spark, "logs")
+    log = ad.decision_log(spark, sf_dir)
+    decisions.append_decisions(log, root)
+    mine = decisions.read_user_decisions(spark, root, log.agg(F.min("user")).first()[0])
+    return mine.select("user", "patient_id", "id_sejour", "item_id", ts_text("timestamp").alias("timestamp"), "action", "seq")
+
+
+@register("log_compaction", with_ctes(["log"], """
+SELECT r.reader, seq, "user", item_id, commentaire FROM log, (VALUES ('before'), ('after')) r(reader)"""))
+def q_log_compaction(spark, sf_dir):
+    """The log written in four batches and compacted in place: a reader that was
+    open before, and one that comes after a replayed batch, a batch written
+    since and a compaction that was cut short -- the same rows."""
+    root = scratch_path(spark, "compacted-log")
+    log = ad.decision_log(spark, sf_dir)
+    for i in range(3):
+        decisions.append_decisions(log.where(F.col("seq") % 4 == i), root, f"b{i}")
+    before = decisions.read_all_decisions(spark, root)
+    decisions.compact(spark, root)
+    before = materialised(before, "read-while-compacted")
+    decisions.append_decisions(log.where(F.col("seq") % 4 == 1), root, "b1")
+    decisions.append_decisions(log.where(F.col("seq") % 4 == 3), root, "b3")
+    decisions.append_decisions(log.where(F.col("seq") % 4 == 0), root, f"{decisions.COMPACTED}cut-short")
+    after = decisions.read_all_decisions(spark, root)
+    late = log.where(F.col("seq") % 4 == 3).select(*decisions.COLUMNS)
+    tagged = lambda df, who: df.select(F.lit(who).alias("reader"), "seq", "user", "item_id", "commentaire")
+    return tagged(before.unionByName(late), "before").unionByName(tagged(after, "after"))
+
+
+@register("comment_batches", """
+SELECT 'c' || CAST(s_suppkey AS VARCHAR) AS id, 'RG-' || CAST(s_suppkey * 37 AS VARCHAR) AS rule_id, 'u' || CAST(s_suppkey % 150 AS VARCHAR) AS auteur
+FROM supplier""")
+def q_comment_batches(spark, sf_dir):
+    """Comments appended in batches (one of them twice) to a saved version, and
+    folded into the next one before the last batch."""
+    root = scratch_path(spark, "comments")
+    c = ad.rule_comments(spark, sf_dir)
+    part = lambda i: c.where(F.pmod(F.xxhash64("id"), F.lit(4)) == i)
+    rule_store.save_version(part(0), root, "rules_commentaires", 1)
+    for i in (1, 2, 1):
+        rule_store.append_comments(part(i), root, spark, f"b{i}")
+    rule_store.fold_comments(spark, root)
+    rule_store.append_comments(part(3), root, spark)
+    return rule_store.read_current(spark, root, "rules_commentaires").select("id", "rule_id", "auteur")

@@ -7,7 +7,7 @@ replayed after a lost executor -- replaces its earlier output instead of
 duplicating it; batch names of different writers never meet (streams use their
 query id).  A batch has files by bucket, not by reviewer, so many reviewers do
 not become many small files, and reading one reviewer's log prunes to their
-bucket.  ``compact`` rewrites many batches as one.
+bucket.  ``compact`` rewrites many batches as one, in place if asked.
 
 Text is RFC 4180 CSV: quotes are doubled, and free text may hold line breaks,
 quotes, backslashes and surrounding blanks.
@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordfold.schemas import ANNOTATIONS
+from recordfold.session import materialised
 from recordfold.sources.ingest import empty
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 CSV_OPTIONS = {"header": "true", "timestampNTZFormat": TS_FORMAT, "emptyValue": "", "quote": '"', "escape": '"',
                "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 BUCKETS = 16
+#: Folder of the lists of replaced batches (hidden from reads of the log), and
+#: how the names of compacted batches begin.
+COMPACTIONS, COMPACTED = "_compactions", "compacted-"
 
 COLUMNS = [f.name for f in ANNOTATIONS.fields]
 READ_SCHEMA = T.StructType(ANNOTATIONS.fields + [T.StructField("batch", T.StringType(), True),
@@ -56,11 +60,27 @@ def stamp_now(decisions: DataFrame) -> DataFrame:
     return decisions.withColumn("timestamp", now)
 
 
+def _compactions(spark: SparkSession, root: str) -> tuple[int, set[str], set[str]]:
+    """Number of committed compactions, their batches, and the batches they stand for
+    (names of folders, which a read of the log lists anyway)."""
+    try:
+        rows = spark.read.parquet(f"{root.rstrip('/')}/{COMPACTIONS}").select("v", "batch", "replaced").collect()
+    except AnalysisException:  # none yet
+        return 0, set(), set()
+    return max(r.v for r in rows), {r.batch for r in rows}, {r.replaced for r in rows}
+
+
 def _read(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of the live batches.  A compacted batch counts once its list of
+    replaced batches is there, and from then on these no longer do: the list is
+    one file, which appears whole or not at all."""
     try:
-        return spark.read.schema(READ_SCHEMA).options(**CSV_OPTIONS).csv(root)
+        rows = spark.read.schema(READ_SCHEMA).options(**CSV_OPTIONS).csv(root)
     except AnalysisException:  # absent root: nothing written yet
         return empty(spark, READ_SCHEMA)
+    _, compacted, replaced = _compactions(spark, root)
+    live = ~F.startswith("batch", F.lit(COMPACTED)) | F.col("batch").isin(*compacted)
+    return rows.where(live & ~F.col("batch").isin(*replaced)) if replaced else rows.where(live)
 
 
 def read_all_decisions(spark: SparkSession, root: str) -> DataFrame:
@@ -74,9 +94,23 @@ def read_user_decisions(spark: SparkSession, root: str, user: str) -> DataFrame:
     return rows.where((F.col("bucket") == bucket_of(F.lit(user))) & (F.col("user") == user)).select(*COLUMNS)
 
 
-def compact(spark: SparkSession, root: str, target: str) -> None:
-    """Rewrite all batches under ``root`` as one batch under ``target`` (a new root)."""
-    append_decisions(read_all_decisions(spark, root), target)
+def compact(spark: SparkSession, root: str, target: str | None = None) -> None:
+    """Rewrite all live batches as one, under ``target`` (a new root) or in
+    place.  In place the old folders stay for the readers that have them open;
+    readers that come later see the new batch instead, never both.  A batch
+    written again afterwards (a replayed stream batch) stays replaced.  Of two
+    compactions at once the second one fails."""
+    if target is not None:
+        append_decisions(read_all_decisions(spark, root), target)
+        return
+    version, _, _ = _compactions(spark, root)
+    rows = _read(spark, root)
+    names = rows.select("batch").distinct()  # partition values: a row per folder
+    batch = f"{COMPACTED}{uuid.uuid4().hex}"
+    replaced = materialised(names, "compacted")
+    append_decisions(rows.join(replaced, "batch", "left_semi").select(*COLUMNS), root, batch)
+    replaced.select(F.lit(batch).alias("batch"), F.col("batch").alias("replaced")).coalesce(1) \
+        .write.mode("errorifexists").parquet(f"{root.rstrip('/')}/{COMPACTIONS}/v={version + 1}")
 
 
 def export_csv(decisions: DataFrame, path: str) -> None:

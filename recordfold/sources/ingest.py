@@ -13,7 +13,7 @@ import logging
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +98,39 @@ def load_table(spark: SparkSession, base: str, name: str, fmt: str = "parquet",
     return drop_unattached(df, name)
 
 
+def _opened(reader: DataFrameReader, path: str) -> DataFrame | None:
+    try:
+        df = reader.load(path)
+        df.schema  # noqa: B018
+        return df
+    except UNREADABLE:
+        return None
+
+
+def load_files(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """A table kept as a folder of files, loaded file by file: the rows of the
+    readable files, and the rejects (file, size, reason) -- files that gave no
+    row.  Files of no bytes are neither.  One pass over the files for each of
+    the two."""
+    schema = TABLES[name]
+    reader = spark.read.format(fmt).option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
+    try:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path) \
+            .select(F.col("path").alias("file"), F.col("length").alias("size"))
+    except UNREADABLE as e:
+        log.warning("%s absent (%s): empty table", path, type(e).__name__)
+        return empty(spark, schema), spark.createDataFrame([], "file string, size bigint, reason string")
+    reason = F.lit("no_row_read").alias("reason")
+    reader = reader.option("header", True) if fmt == "csv" else reader
+    raw = _opened(reader, path) or _opened(reader.option("mergeSchema", "true"), path)  # the file asked for columns may be the damaged one
+    if raw is None:
+        return empty(spark, schema), listed.select("file", "size", reason)
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")  # noqa: E731  (readers spell a scheme differently)
+    read = raw.select(plain(F.col("_metadata.file_path")).alias("read")).distinct()
+    rejects = listed.join(read, plain(F.col("file")) == F.col("read"), "left_anti").select("file", "size", reason)
+    return drop_unattached(conform(raw, schema), name), rejects
+
+
 def _positioned(spark, path, schema, fmt, conformed):
     """Re-read with the file position: Parquet has a row index per file; other
     formats fall back to a per-read ordinal (stable for an unchanged listing).

@@ -9,6 +9,7 @@ a failed job leaves the previous version intact.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -99,14 +100,19 @@ def _path(root: str, name: str) -> str:
 
 def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Highest version of a rule table; absent -> empty table with its columns."""
-    schema = NAMES[name]
+    schema, version = NAMES[name], current_version(spark, root, name)
+    # the version is a folder: its number is known before any row is read
+    rows = _folder(spark, f"{_path(root, name)}/v={version}", schema)
+    return rows.unionByName(_folder(spark, _added(root, version), schema)) if name == "rules_commentaires" else rows
+
+
+def _folder(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
-        df = spark.read.parquet(_path(root, name))
+        df = spark.read.parquet(path)
         df.schema  # noqa: B018
     except AnalysisException:
         return empty(spark, schema)
-    # the version is a folder: its number is known before any row is read
-    return conform(df.where(F.col("v") == current_version(spark, root, name)), schema)
+    return conform(df, schema)
 
 
 def save_version(df: DataFrame, root: str, name: str, version: int) -> None:
@@ -139,9 +145,22 @@ def load_rule_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {n: read_current(spark, root, n) for n in NAMES}
 
 
-def append_comments(comments: DataFrame, root: str, spark: SparkSession) -> None:
-    """Add accepted comments as the next version of the comment table."""
+def append_comments(comments: DataFrame, root: str, spark: SparkSession, batch_id: str | None = None) -> None:
+    """Add accepted comments.  Only their own rows are written, as a batch that
+    belongs to the table's current version (``read_current`` merges them);
+    writing the same ``batch_id`` again replaces that batch.  Saving a whole new
+    version starts without the batches of the one before."""
     v = current_version(spark, root, "rules_commentaires")
-    before = read_current(spark, root, "rules_commentaires")
     cols = [f.name for f in RULE_COMMENTS.fields]
-    save_version(before.select(*cols).unionByName(comments.select(*cols)), root, "rules_commentaires", v + 1)
+    comments.select(*cols).write.mode("overwrite").parquet(f"{_added(root, v)}/batch={batch_id or uuid.uuid4().hex}")
+
+
+def _added(root: str, version: int) -> str:
+    return f"{_path(root, 'rules_commentaires_ajouts')}/v={version}"
+
+
+def fold_comments(spark: SparkSession, root: str) -> None:
+    """Save the current version and its batches as the next version (a reader of
+    the older one keeps its files)."""
+    v = current_version(spark, root, "rules_commentaires")
+    save_version(read_current(spark, root, "rules_commentaires"), root, "rules_commentaires", v + 1)
