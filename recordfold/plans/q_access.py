@@ -443,3 +443,20 @@ def q_comment_batches(spark, sf_dir):
     rule_store.fold_comments(spark, root)
     rule_store.append_comments(part(3), root, spark)
     return rule_store.read_current(spark, root, "rules_commentaires").select("id", "rule_id", "auteur")
+
+
+@register("load_nan", """
+SELECT CAST(l_orderkey AS VARCHAR) AS id_sejour, l_linenumber, count(*) AS n, count(*) FILTER (WHERE l_linenumber % 3 <> 0) AS n_values,
+       CAST(max(CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END) AS BIGINT) AS most
+FROM lineitem GROUP BY l_orderkey, l_linenumber""")
+def q_load_nan(spark, sf_dir):
+    """Measures of which a third are NaN, and stay ids that are doubles, through
+    the tolerant load: NaN is no value, and ids lose their '.0'."""
+    from pyspark.sql import types as T
+    li = ad.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    raw = li.select(F.col("l_orderkey").cast("double").alias("id_sejour"), "l_linenumber",
+                    F.when(F.col("l_linenumber") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("l_quantity")).alias("valeur"))
+    t = ingest.conform(raw, T.StructType([f for f in TABLES["biologie"].fields if f.name in ("id_sejour", "valeur")]
+                                         + [raw.schema["l_linenumber"]]))
+    return t.groupBy("id_sejour", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.count("valeur").alias("n_values"),
+                                                      F.max("valeur").cast("bigint").alias("most"))
