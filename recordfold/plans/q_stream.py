@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from recordfold.plans import adapters as ad
 from recordfold.plans import q_access  # noqa: F401  (registers export_all, reused as oracle)
-from recordfold.plans.queries import ORACLE, register, ts_text
+from recordfold.plans.queries import ORACLE, register, ts_text, worklist_items
 from recordfold.schemas import ANNOTATIONS
-from recordfold.session import scratch_path
+from recordfold.session import materialised, scratch_path
 from recordfold.sources import decisions
 from recordfold.streaming import decisions as stream
 
@@ -34,6 +34,15 @@ def q_stream_latest_actions(spark, sf_dir):
                      "item_type", "action", "code", "libelle", "type_code", "commentaire")
 
 
+@register("stream_worklist", ORACLE["suggestion_status"])
+def q_stream_worklist(spark, sf_dir):
+    """The worklists kept up to date batch by batch, as ``suggestion_status`` has them."""
+    items = materialised(worklist_items(spark, sf_dir), "worklist-items")
+    inbox, root = _fill_inbox(spark, sf_dir), scratch_path(spark, "worklist")
+    stream.maintain_worklist(spark, inbox, items, root, scratch_path(spark, "ckpt-worklist"), FILES_PER_BATCH).awaitTermination()
+    return stream.read_worklist(spark, items, root).select(*stream.ITEM, *stream.OVERLAID)
+
+
 @register("stream_ingest", ORACLE["export_all"])
 def q_stream_ingest(spark, sf_dir):
     inbox = _fill_inbox(spark, sf_dir)

@@ -69,13 +69,16 @@ FROM assign a JOIN suggestions s ON a.patient_id = s.patient_id
 LEFT JOIN latest l ON l."user" = a.username AND l.patient_id = s.patient_id
      AND l.id_sejour = s.id_sejour AND l.item_id = s.suggestion_id"""))
 def q_suggestion_status(spark, sf_dir):
-    assign = _dedupe_assignments(ad.raw_assignments(spark, sf_dir))
-    base = _worklist(ad.suggestions(spark, sf_dir), assign)
-    out = overlay.suggestion_status(base, _latest(spark, sf_dir))
+    out = overlay.suggestion_status(worklist_items(spark, sf_dir), _latest(spark, sf_dir))
     return out.select("user", "patient_id", "id_sejour", "suggestion_id", "code", "libelle",
                       "confiance", "status", "amended")
 
 
+def worklist_items(spark, sf_dir) -> DataFrame:
+    """Every suggestion of every patient assigned to a reviewer."""
+    return _worklist(ad.suggestions(spark, sf_dir), _dedupe_assignments(ad.raw_assignments(spark, sf_dir)))
+
+
 def _dedupe_assignments(raw: DataFrame) -> DataFrame:
     from recordfold.operators.access import dedupe_assignments
     return dedupe_assignments(raw)

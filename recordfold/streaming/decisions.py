@@ -12,6 +12,11 @@ result as the whole log (``read_latest_state``); ``compact_state`` rewrites
 them as one row per item.  There is no watermark on purpose: any old item can
 still be revised, so the state is unbounded -- it holds one row per item.
 
+``maintain_worklist``: the reviewers' worklists (J2), kept up to date from the
+changed keys of each micro-batch: only the items that a batch decided on are
+overlaid again and appended to the worklist's changes.  ``read_worklist`` puts
+the last change of an item over the untouched list, without the log or a fold.
+
 Folders are named by the query's own id and its batch number: another query, or
 the same inbox with a new checkpoint, never overwrites earlier folders, and a
 replayed batch overwrites only itself.
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from recordfold.operators.overlay import LOG_KEYS, LOG_VALUES, last_ordering
+from recordfold.operators.overlay import LOG_KEYS, LOG_VALUES, last_ordering, suggestion_status
 from recordfold.schemas import ANNOTATIONS
 from recordfold.sources.decisions import COLUMNS, CSV_OPTIONS, append_decisions
 
@@ -90,3 +95,33 @@ def read_latest_state(spark: SparkSession, state_root: str) -> DataFrame:
 def compact_state(spark: SparkSession, state_root: str, target: str) -> None:
     """Rewrite the state under ``state_root`` as one batch under ``target`` (a new root)."""
     _state(spark, state_root).write.mode("errorifexists").parquet(f"{target.rstrip('/')}/batch=compacted")
+
+
+ITEM = ("user", "patient_id", "id_sejour", "suggestion_id")
+OVERLAID = ("code", "libelle", "confiance", "status", "amended")
+
+
+def maintain_worklist(spark: SparkSession, inbox: str, items: DataFrame, root: str, checkpoint: str,
+                      max_files: int | None = None) -> StreamingQuery:
+    """Keep the worklists of ``items`` (reviewer x proposed code, ITEM their key)
+    up to date with the decisions arriving in ``inbox``: a micro-batch writes the
+    items it decided on with their new state.  One query per ``root``; a replayed
+    batch overwrites its own folder."""
+    def change(batch: DataFrame, batch_id: int) -> None:
+        latest = batch.select(*LOG_KEYS, *[F.col(c)["v"].alias(c) for c in LOG_VALUES])
+        keys = latest.select(*LOG_KEYS).withColumnRenamed("item_id", ITEM[-1])
+        changed = suggestion_status(items.join(keys, list(ITEM), "left_semi"), latest)
+        changed.select(*ITEM, *OVERLAID, F.lit(batch_id).cast("bigint").alias("turn")) \
+            .write.mode("overwrite").parquet(f"{root.rstrip('/')}/batch={batch_name(batch, batch_id)}")
+
+    return (_keyed(read_inbox(spark, inbox, max_files)).writeStream.outputMode("update").foreachBatch(change)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def read_worklist(spark: SparkSession, items: DataFrame, root: str) -> DataFrame:
+    """``items`` with their current state: the last change of each, or pending."""
+    changes = spark.read.option("basePath", root).parquet(f"{root.rstrip('/')}/batch=*")
+    last = changes.groupBy(*ITEM).agg(F.max_by(F.struct(*OVERLAID), "turn").alias("_now"))
+    nothing = spark.createDataFrame([], ANNOTATIONS)
+    return suggestion_status(items, nothing).join(last, list(ITEM), "left").withColumns(
+        {c: F.when(F.col("_now").isNotNull(), F.col("_now")[c]).otherwise(F.col(c)) for c in OVERLAID}).drop("_now")

@@ -77,3 +77,23 @@ def test_ingest_restart_does_not_duplicate(spark):
     first = decisions.read_all_decisions(spark, root).count()
     stream.ingest_decisions(spark, inbox, root, ckpt, max_files=1).awaitTermination()
     assert decisions.read_all_decisions(spark, root).count() == first == 24
+
+
+def test_worklist_equals_the_overlay_after_every_batch(spark):
+    from pyspark.sql import functions as F
+    inbox, root, ckpt = (tempfile.mkdtemp(prefix="worklist-") for _ in range(3))
+    items = spark.range(12).select(
+        F.concat(F.lit("u"), (F.col("id") % 2).cast("string")).alias("user"), F.lit("P1").alias("patient_id"), F.lit("S1").alias("id_sejour"),
+        F.concat(F.lit("s"), F.floor(F.col("id") / 2).cast("string")).alias("suggestion_id"), F.lit("B").alias("code"), F.lit("base").alias("libelle"),
+        F.lit("50").alias("confiance"))
+    acts = ["validé", "modifié", "annulé", "rejeté"]
+    for turn in range(3):
+        data = [(T0 + dt.timedelta(minutes=turn), f"u{turn % 2}", "P1", "S1", "suggestion", f"s{i}", acts[(i + turn) % 4], f"C{turn}", f"L{turn}",
+                 None, None, 10 * turn + i) for i in range(4)]
+        spark.createDataFrame(data, ANNOTATIONS).coalesce(1).write.mode("append").options(**decisions.CSV_OPTIONS).csv(inbox)
+        stream.maintain_worklist(spark, inbox, items, root, ckpt).awaitTermination()
+        want = overlay.suggestion_status(items, overlay.latest_actions(stream_source(spark, inbox)))
+        cols = [*stream.ITEM, *stream.OVERLAID]
+        assert rows(stream.read_worklist(spark, items, root), *cols) == rows(want, *cols)
+    # a batch writes what it decided on, not the whole list
+    assert spark.read.parquet(root).groupBy("batch").count().agg(F.max("count")).first()[0] == 4
