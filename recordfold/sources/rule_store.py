@@ -13,7 +13,6 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from recordfold.schemas import RULE_COMMENTS, RULE_OUTPUTS, RULE_PARAMS, RULES
 from recordfold.sources.ingest import conform, empty
