@@ -32,6 +32,8 @@ BANDS = 32  # of PERMS / BANDS rows: a pair of likeness 0.8 is missed with proba
 LIKENESS = 0.8
 #: Members of a band bucket compared in one task at a time; larger buckets are cut into pairs of blocks.
 CELL = 256
+#: Bands whose links are followed first.
+FIRST = 4
 _rng = np.random.default_rng(SEED)
 _A = _rng.integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, PERMS, dtype=np.uint64)
@@ -207,8 +209,11 @@ def near_duplicates(docs: DataFrame, threshold: float = LIKENESS) -> DataFrame:
     the shingle sets at or above ``threshold``) among documents that share a
     band of their signatures; equal shingle sets are one node, texts without a
     word link among themselves.  Null ids never name a class that has another.
-    Only sets that share a band with another are moved, and a bucket's sets meet
-    in blocks of ``CELL``; a block pair emits a forest, never all pairs."""
+    Only names of sets are banded and written.  Bands whose buckets have the same
+    members count as one, and buckets within one class found by the first
+    ``FIRST`` bands need not be compared again, so a set's hashes (made again
+    from its text, only where it met another) go to few buckets.  A bucket's
+    sets meet in blocks of ``CELL``; a block pair emits a forest, never all pairs."""
     return _classes(docs, threshold).drop("tie")
 
 
@@ -232,27 +237,48 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "tie": b.column("tie"), "name": pa.array([xxhash.xxh3_64_intdigest(r) - 2**63 for r in raw], pa.int64()),
                 "bands": pa.array([[xxhash.xxh64_intdigest(s[i * width:(i + 1) * width].tobytes(), i) - 2**63 for i in range(BANDS)]
-                                   for s in sig], pa.list_(pa.int64())), "hashes": pa.array(raw, pa.binary())})
-    marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie")) \
-        .mapInArrow(sets, "doc_id bigint, tie bigint, name bigint, bands array<bigint>, hashes binary")
-    marked = common.written(marked, "shingle-sets")
-    nodes = marked.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    band = common.written(nodes.select("name", F.explode("bands").alias("key")), "bands")
-    crowd = band.groupBy("key").agg(F.count("name").alias("n")).where("n > 1") \
-        .withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int"))
-    own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-    # block i meets block j <= i in cell (i, j); pairs inside a block are compared in cell (i, i) only
-    cells = band.join(crowd, "key").withColumn("own", own).select("key", "name", "own", F.explode(
-        F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", "name", F.greatest("own", "other").alias("x"), F.least("own", "other").alias("y"),
-        (F.col("own") == F.greatest("own", "other")).alias("home"))
-    met = common.written(band.join(crowd, "key").select("name").distinct(), "minhash-met")
-    full = marked.join(met, "name", "leftsemi").groupBy("name").agg(F.first("hashes").alias("hashes"))
-    placed = cells.join(full, "name").repartition(common.wide_partitions(docs), "key", "x", "y").sortWithinPartitions("key", "x", "y", "name")
-    edges = placed.select("key", "x", "y", "name", "hashes", "home").mapInArrow(_verified(threshold), "a bigint, b bigint")
-    roots = nodes.select("name", "rep").join(components(edges), F.col("name") == F.col("node"), "left") \
-        .select("name", "rep", F.coalesce("root", "name").alias("root"))
+                                   for s in sig], pa.list_(pa.int64()))})
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    marked = common.written(keyed.mapInArrow(sets, "doc_id bigint, tie bigint, name bigint, bands array<bigint>"), "shingle-sets")
+    nodes = marked.groupBy("name").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tie")).alias("rep"), F.first("bands").alias("bands"))
+    band = nodes.select("name", F.posexplode("bands").alias("band", "key"))
+    crowd = band.groupBy("band", "key").agg(F.count("name").alias("n"), F.bit_xor(F.xxhash64("name")).alias("mixed"),
+                                            F.sum(F.shiftright(F.xxhash64("name"), 20)).alias("total")).where("n > 1")
+    # one of the buckets with the same members, the earliest band's
+    crowd = crowd.groupBy("n", "mixed", "total").agg(F.min(F.struct("band", "key")).alias("b")).select("n", "b.band", "b.key")
+    band = common.written(band.join(crowd, ["band", "key"]), "bands")
+    reps = nodes.join(band.select("name").distinct(), "name", "leftsemi").select("name", "rep.doc_id", "rep.tie")
+    # the name comes with the id and the hash of a text that has it
+    named = keyed.join(reps.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "name"),
+                       F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("tie").eqNullSafe(F.col("_tie"))).dropDuplicates(["name"])
+
+    def arrays(batches):
+        for b in batches:
+            yield from common.rows_to_batches(((n, shingle_hashes(t).astype("<u8").tobytes()) for n, t in zip(
+                b["name"].to_pylist(), common.texts(b["text"]))), pa.schema([("name", pa.int64()), ("hashes", pa.binary())]), 200)
+    full = common.written(named.select("name", "text").mapInArrow(arrays, "name bigint, hashes binary"), "minhash-met")
+
+    def links(members: DataFrame) -> DataFrame:
+        """Verified links of the buckets' members, (name, band, key, n)."""
+        blocks = members.withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int")) \
+            .withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+        # block i meets block j <= i in cell (i, j); pairs inside a block are compared in cell (i, i) only
+        cells = blocks.select("band", "key", "name", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+            F.xxhash64("band", "key").alias("key"), "name", F.greatest("own", "other").alias("x"), F.least("own", "other").alias("y"),
+            (F.col("own") == F.greatest("own", "other")).alias("home"))
+        placed = cells.join(full, "name").repartition(common.wide_partitions(docs), "key", "x", "y").sortWithinPartitions("key", "x", "y", "name")
+        return placed.select("key", "x", "y", "name", "hashes", "home").mapInArrow(_verified(threshold), "a bigint, b bigint")
+
+    early = common.written(links(band.where(F.col("band") < FIRST)), "minhash-early")
+    known = common.written(components(early), "minhash-known")
+    placed = band.where(F.col("band") >= FIRST).join(known, F.col("name") == F.col("node"), "left") \
+        .withColumn("root", F.coalesce("root", "name"))
+    open_ = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
+    late = links(placed.select("name", "band", "key", "n").join(open_, ["band", "key"]))
+    edges = early.unionByName(late)
+    roots = nodes.select("name", F.col("least").alias("doc_id")).join(components(edges), F.col("name") == F.col("node"), "left") \
+        .select("name", "doc_id", F.coalesce("root", "name").alias("root"))
     roots = common.written(roots, "minhash-roots")
-    first = roots.groupBy("root").agg(F.min("rep").alias("class_id"))
+    first = roots.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return marked.select("doc_id", "tie", "name").join(roots.join(first, "root").select("name", "class_id"), "name") \
         .select("doc_id", "tie", "class_id")
