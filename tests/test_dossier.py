@@ -155,3 +155,21 @@ def test_flattened_records_give_the_tables_back(spark):
     docs = t["documents"].join(stays, ["patient_id", "id_sejour"], "left_semi").union(
         t["documents"].where("id_sejour IS NULL").join(t["patients"].select("patient_id"), "patient_id", "left_semi").select(*t["documents"].columns))
     assert sorted(r.id for r in flat["documents"].collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_tokens_are_found_without_their_texts(spark):
+    from recordfold.operators.textmatch import passages_in
+    texts = ["the abcdefghij klm", "xabcdefghijx, abcdefgh", "été-né 42", "", None]
+    found = ["abcdefghi", "abcdefgzz", "efgh", "é", "été", "m", "-", "cdefghij klm", "é-n"]
+    tdf = spark.createDataFrame(list(enumerate(texts)), "tid int, body string")
+    for some in (found, found[:6]):
+        pdf = spark.createDataFrame(list(enumerate(some)), "pid int, passage string")
+        got = passages_in(tdf, ["tid"], "body", pdf, ["pid"], "passage")
+        assert rows(got, "tid", "pid") == sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(some) if t and p in t)
+    assert "instr" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gram_index_grows_with_the_lengths_in_use(spark):
+    from recordfold.operators.textmatch import _gram_index
+    units = spark.createDataFrame([("abcdefghij",), ("aaaaaaaaaa",), ("abc",)], "_unit string")
+    assert rows(_gram_index(units, F.array(F.lit(8))), "_gram") == [("aaaaaaaa",), ("abcdefgh",), ("bcdefghi",), ("cdefghij",)]
