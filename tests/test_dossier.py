@@ -173,3 +173,25 @@ def test_gram_index_grows_with_the_lengths_in_use(spark):
     from recordfold.operators.textmatch import _gram_index
     units = spark.createDataFrame([("abcdefghij",), ("aaaaaaaaaa",), ("abc",)], "_unit string")
     assert rows(_gram_index(units, F.array(F.lit(8))), "_gram") == [("aaaaaaaa",), ("abcdefgh",), ("bcdefghi",), ("cdefghij",)]
+
+
+def test_line_items_meet_their_orders_once(spark, tmp_path):
+    """Doses, lab results and codes are projections of what ``stored`` gives back; ids and
+    rows stay as they were with null keys and repeated orders."""
+    from recordfold.plans import adapters as ad
+    line = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice double, l_shipdate timestamp_ntz, l_quantity double, l_discount double, l_returnflag string"
+    day = dt.datetime(2024, 1, 2)
+    frames = {"lineitem": ([(1, 1, 5, 3, 1.0, day, 2.0, 0.1, "R"), (1, None, 6, 4, 1.0, day, 3.0, 0.2, "N"), (None, 1, 7, 5, 1.0, day, 4.0, 0.3, "N")], line),
+              "orders": ([(1, 10, day, "1-URGENT"), (1, 10, day, "1-URGENT"), (2, None, day, "2-HIGH")], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string"),
+              "customer": ([(10, 1)], "c_custkey bigint, c_nationkey int"), "events": ([], "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"),
+              "documents": ([(1, "one text", "fr", "s"), (4, "no order", "fr", "s"), (None, "no id", "fr", "s")], "doc_id bigint, text string, lang string, source string"),
+              "pages": ([], "page_id bigint, url string"), "benchmark": ([], "item_id bigint, text string"),
+              "conversations": ([], "conv_id bigint, turn bigint, role string, text string")}
+    for name, (data, ddl) in frames.items():
+        spark.createDataFrame(data, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    seen = []
+    t = ad.domain_tables(spark, str(tmp_path), lambda df, label: seen.append(label) or df)
+    assert sorted(seen) == ["lines", "orders"]
+    assert rows(t["codes_valides"], "patient_id", "code_id") == sorted([("10", "1-1-5"), ("10", "1-6")] * 2)
+    assert t["medicaments"].count() == 4 and t["biologie"].count() == 8
+    assert rows(t["documents"], "patient_id", "doc_id") == sorted([("10", "1"), ("10", "1"), (None, "4"), (None, None)], key=lambda r: tuple((x is None, str(x)) for x in r))

@@ -86,3 +86,19 @@ def test_tables_by_stay_meet_without_an_exchange(spark):
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and both.agg(F.sum("n")).first()[0] == 200
     assert t["c"].count() == 3
+
+
+def test_dealt_by_less_than_the_key_meets_without_an_exchange(spark):
+    """Tables dealt by the patient alone: their union folded by item, the join by
+    item and the patient's row need no exchange; a join by item had one before."""
+    rows_ = spark.range(60).select((F.col("id") % 7).cast("string").alias("patient_id"), (F.col("id") % 20).cast("string").alias("id_sejour"),
+                                   F.col("id").cast("string").alias("item"), "id")
+    t = copartition.tables_by_stay({"a": rows_, "b": rows_.where("id % 2 = 0")}, 4, by=["patient_id"])
+    key = [*copartition.KEY, "item"]
+    folded = t["a"].select(F.lit("u").alias("user"), *key, "id").unionByName(t["b"].select(F.lit("u").alias("user"), *key, "id")) \
+        .groupBy("user", *key).agg(F.count("id").alias("n"))
+    per_patient = t["a"].join(folded, key).groupBy("patient_id").agg(F.sum("n").alias("n"))
+    with_joins = per_patient._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in with_joins
+    want = {str(p): sum(1 + (i % 2 == 0) for i in range(60) if i % 7 == p) for p in range(7)}
+    assert {r.patient_id: r.n for r in per_patient.collect()} == want
