@@ -169,6 +169,7 @@ def write_tables(tables: dict[str, DataFrame], base: str, fmt: str = "parquet",
     out = {}
     for name, df in tables.items():
         path = f"{base.rstrip('/')}/{name}.{fmt}"
-        df.write.mode(mode).format(fmt).save(path)
+        options = {"compression": "zstd"} if fmt == "parquet" else {}
+        df.write.mode(mode).format(fmt).options(**options).save(path)
         out[name] = df.sparkSession.read.format(fmt).load(path).count()
     return out

@@ -102,3 +102,32 @@ def test_dealt_by_less_than_the_key_meets_without_an_exchange(spark):
     assert "hashpartitioning" not in with_joins
     want = {str(p): sum(1 + (i % 2 == 0) for i in range(60) if i % 7 == p) for p in range(7)}
     assert {r.patient_id: r.n for r in per_patient.collect()} == want
+
+
+def test_passages_are_looked_for_without_the_orders(spark, tmp_path, monkeypatch):
+    """Neither the words nor the texts of documents move for the patients' sake,
+    and lines meet their orders once however many tables are made of them."""
+    from recordfold.operators import textmatch
+    from recordfold.plans import adapters
+    when = "TIMESTAMP '2024-01-02 03:04:05'"
+    for name, sql in {
+            "orders": f"SELECT id AS o_orderkey, id + 50 AS o_custkey, {when} AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(4)",
+            "lineitem": f"SELECT id % 4 AS l_orderkey, id AS l_linenumber, id AS l_partkey, id AS l_suppkey, 1.0D AS l_extendedprice, {when} AS l_shipdate,"
+                        " 2.0D AS l_quantity, 0.5D AS l_discount, 'R' AS l_returnflag FROM range(8)",
+            "customer": "SELECT id + 50 AS c_custkey, 1 AS c_nationkey FROM range(4)",
+            "events": f"SELECT id AS event_id, {when} AS ts, id AS user_id, 'view' AS event_type, 1.0D AS value, '{{\"k\": 3}}' AS props FROM range(2)",
+            "pages": "SELECT id AS page_id, 'u' AS url FROM range(3)",
+            "conversations": "SELECT id AS conv_id, 1 AS turn, 'user' AS role, 'hi' AS text FROM range(3)",
+            "documents": "SELECT * FROM VALUES (1L, 'the red fox ran', 'en', 's'), (1L, 'the red fox sat', 'en', 's'), (0L, 'the red fox', 'en', 's'),"
+                         " (9L, 'the red fox', 'en', 's'), (2L, 'nothing', 'en', 's'), (NULL, 'the red fox', 'en', 's') AS t(doc_id, text, lang, source)",
+            "benchmark": "SELECT * FROM VALUES (6L, 'the red fox'), (7L, ''), (8L, NULL) AS t(item_id, text)"}.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    seen, find, joined = [], textmatch.find_passages, []
+    monkeypatch.setattr(textmatch, "find_passages", lambda texts, *a: seen.append(texts) or find(texts, *a))
+    t = adapters.domain_tables(spark, str(tmp_path), lambda df, label: joined.append(label) or df, place=("l_linenumber", "l_partkey", "l_shipdate"))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "o_custkey" not in plan
+    assert joined.count("lines") == 1 and t["biologie"].count() == 16
+    # repeated documents are found each; those without a stay, a patient or an id are not
+    assert sorted(map(tuple, t["suggestions"].select("patient_id", "id_sejour", "suggestion_id", "source_id", "highlight").collect())) \
+        == [("51", "1", "1-6", "1", "the red fox")] * 2
