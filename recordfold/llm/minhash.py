@@ -219,9 +219,11 @@ def near_duplicates(docs: DataFrame, threshold: float = LIKENESS) -> DataFrame:
 
 def fingerprints(docs: DataFrame, threshold: float = LIKENESS) -> DataFrame:
     """``with_next`` of every row and its ``class_id`` of ``near_duplicates``.
-    Rows that agree in id and text are in one class."""
+    Rows that agree in id and text are in one class.  The texts move while
+    nothing else is on disk yet."""
+    chained = _with_next(docs)
     classes = _classes(docs, threshold).groupBy(F.col("doc_id").alias("id"), F.col("tie").alias("t")).agg(F.min("class_id").alias("class_id"))
-    return _with_next(docs).join(classes, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("t")), "left").drop("tie", "id", "t")
+    return chained.join(classes, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("t")), "left").drop("tie", "id", "t")
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:

@@ -1,10 +1,11 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from recordfold.llm import minhash
+from recordfold.llm import common, minhash
 
 
 def shingles(t):
@@ -99,3 +100,16 @@ def test_registered_query_returns_classes(spark, make_docs, tmp_path):
     got = sorted(map(tuple, out.select("doc_id", "class_id").collect()), key=str)
     assert got == sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=str)
     assert len({c for _, c in got}) < len(got) - 3
+
+
+def test_shuffle_files_go_with_the_query_that_made_them(spark):
+    common.bounded_batches(spark)
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    names = lambda: {b for b in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in b}
+    before = names()
+    common.written(spark.range(5000).groupBy("id").count(), "freed")
+    for _ in range(50):
+        if not names() - before:
+            break
+        time.sleep(0.1)
+    assert not names() - before
