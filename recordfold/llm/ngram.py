@@ -36,6 +36,8 @@ from recordfold.llm import common
 from recordfold.llm.simhash import LOWER
 
 SHARE, CUTOFF, DISCOUNT = 1e-6, 2, 0.75
+#: A join's tables are hashed, and the rows of the texts not sorted, while each of their partitions is at most this.
+HASHED = "64MB"
 #: Entries of a task's count table before it is handed on, and of its memo.
 HELD, MEMO = 400_000, 300_000
 
@@ -208,6 +210,7 @@ def train(docs: DataFrame, training: Column, share: float = 0.0, discount: float
     ``broadcast``: what is at least that share of them is broadcast (changes no score)."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", HASHED)
     chosen = docs.where(training)
     counts = common.written(word_counts(chosen), "word-counts")
     ends = chosen.count()
@@ -278,14 +281,16 @@ def score(docs: DataFrame, held: Column, model: Model, facts: DataFrame) -> Data
                                   "n_tokens:bigint,known:bigint,base:double,score:double>")
     word, unseen = F.col("hist").isNotNull(), -math.log10(model.tokens + model.types + 1)
     one = F.col("tf") * F.coalesce("one", F.when(word, unseen).otherwise(0.0))
+    # a text's own values one by one: fixed-width, so the aggregate is a hash map
     summed = parts.join(facts, "k", "left").groupBy("row").agg(
-        F.max("doc").alias("doc"), F.sum(F.when(word & (F.col("n") > 0), F.col("tf")).otherwise(0)).alias("known"),
+        *[F.max(f"doc.{f.name}").alias(f"doc_{f.name}") for f in doc_type],
+        F.sum(F.when(word & (F.col("n") > 0), F.col("tf")).otherwise(0)).alias("known"),
         F.sum(F.when(word, one).otherwise(0.0)).alias("rare"),
         F.sum(one + F.coalesce(F.col("hist") * F.col("back"), F.lit(0.0))).alias("more"))
     return summed.select(
-        "doc.doc_id", "doc.held_out", "doc.n_tokens", (F.col("doc.known") + F.col("known")).alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("doc.base") + F.col("rare")).alias("base_score"), (F.col("doc.score") + F.col("more")).alias("score"))
+        F.col("doc_doc_id").alias("doc_id"), F.col("doc_held_out").alias("held_out"), F.col("doc_n_tokens").alias("n_tokens"),
+        (F.col("doc_known") + F.col("known")).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        (F.col("doc_base") + F.col("rare")).alias("base_score"), (F.col("doc_score") + F.col("more")).alias("score"))
 
 
 def train_and_score(docs: DataFrame, share: float = 0.0, broadcast: float = SHARE) -> DataFrame:

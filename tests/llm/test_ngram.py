@@ -91,3 +91,8 @@ def test_broadcast_part_changes_no_score(spark, make_docs):
         assert len(got) == len(want)
         for a, b in zip(got, want):
             assert close(a, b), (broadcast, a, b)
+
+
+def test_scoring_sorts_no_rows_to_aggregate_them(spark, make_docs):
+    plan = ngram.train_and_score(make_docs(corpus()))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
