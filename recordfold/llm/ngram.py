@@ -25,10 +25,12 @@ import math
 from array import array
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ from recordfold.llm import common
 from recordfold.llm.simhash import LOWER
 
 SHARE, CUTOFF, DISCOUNT = 1e-6, 2, 0.75
+#: Jobs that score the texts one after another: the shuffled rows of one are on disk at a time.
+SLICES = 3
 #: A join's tables are hashed, and the rows of the texts not sorted, while each of their partitions is at most this.
 HASHED = "64MB"
 #: Entries of a task's count table before it is handed on, and of its memo.
@@ -247,10 +251,20 @@ def train(docs: DataFrame, training: Column, share: float = 0.0, discount: float
 
 # ------------------------------------------------------------------- scoring
 
-def score(docs: DataFrame, held: Column, model: Model, facts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, held: Column, model: Model, facts: DataFrame, slices: int = SLICES) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score (add-one unigrams), score (the automaton), both log10."""
+    base_score (add-one unigrams), score (the automaton), both log10.
+
+    Every row is in one of the ``slices``, by a hash of its id and text; all but
+    the last are scored and written here, the last one where the result is read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices))
+    done = [common.written(_scored(docs.where(own == i), held, model, shared, facts), "lm-scores") for i in range(slices - 1)]
+    return reduce(DataFrame.unionByName, done + [_scored(docs.where(own == slices - 1), held, model, shared, facts)])
+
+
+def _scored(docs: DataFrame, held: Column, model: Model, shared: Broadcast, facts: DataFrame) -> DataFrame:
+    """``score`` in one job."""
     doc_type = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
                           ("base", pa.float64()), ("score", pa.float64())])
     schema = pa.schema([("row", pa.int64()), ("k", pa.int64()), ("tf", pa.int32()), ("hist", pa.int32()), ("doc", doc_type)])

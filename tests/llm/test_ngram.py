@@ -96,3 +96,17 @@ def test_broadcast_part_changes_no_score(spark, make_docs):
 def test_scoring_sorts_no_rows_to_aggregate_them(spark, make_docs):
     plan = ngram.train_and_score(make_docs(corpus()))._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_texts_are_scored_a_slice_at_a_time(spark, make_docs, monkeypatch):
+    """The last job has a part of the rows; all slices together have every row, repeated and null ones too."""
+    pairs = list(enumerate(corpus())) + [(None, "the w1 w8"), (None, None), (5, "repeated row"), (5, "repeated row")]
+    docs = make_docs(pairs).repartition(3)
+    labels, written = [], ngram.common.written
+    monkeypatch.setattr(ngram.common, "written", lambda df, label: labels.append(label) or written(df, label))
+    got = sorted(map(tuple, ngram.train_and_score(docs).collect()), key=str)
+    assert labels.count("lm-scores") == ngram.SLICES - 1 > 0
+    want = sorted(brute(pairs, 0)[0], key=str)
+    assert len(got) == len(want) and all(map(close, got, want))
+    own = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ngram.SLICES))
+    assert 0 < docs.where(own == ngram.SLICES - 1).count() < len(pairs)
