@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,9 @@ LIKENESS = 0.8
 CELL = 256
 #: Bands whose links are followed first.
 FIRST = 4
+#: Jobs that fetch the texts of sets that met, and jobs that compare the sets, one after
+#: another: the shuffled texts or hashes of one are on disk at a time.
+SLICES = 3
 _rng = np.random.default_rng(SEED)
 _A = _rng.integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, PERMS, dtype=np.uint64)
@@ -250,15 +254,21 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     crowd = crowd.groupBy("n", "mixed", "total").agg(F.min(F.struct("band", "key")).alias("b")).select("n", "b.band", "b.key")
     band = common.written(band.join(crowd, ["band", "key"]), "bands")
     reps = nodes.join(band.select("name").distinct(), "name", "leftsemi").select("name", "rep.doc_id", "rep.tie")
-    # the name comes with the id and the hash of a text that has it
-    named = keyed.join(reps.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "name"),
-                       F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("tie").eqNullSafe(F.col("_tie"))).dropDuplicates(["name"])
+    reps = common.written(reps, "minhash-reps")
+
+    def named(i: int) -> DataFrame:
+        """The slice's names with a text: a name comes with the id and the hash of a text that has it."""
+        own = lambda c: F.pmod(F.xxhash64(c), F.lit(SLICES)) == i  # noqa: E731  (texts are equal where their hashes are joined)
+        sought = reps.where(own("tie")).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "name")
+        return keyed.where(own("tie")).join(sought, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("tie").eqNullSafe(F.col("_tie"))) \
+            .dropDuplicates(["name"]).select("name", "text")
 
     def arrays(batches):
         for b in batches:
             yield from common.rows_to_batches(((n, shingle_hashes(t).astype("<u8").tobytes()) for n, t in zip(
                 b["name"].to_pylist(), common.texts(b["text"]))), pa.schema([("name", pa.int64()), ("hashes", pa.binary())]), 200)
-    full = common.written(named.select("name", "text").mapInArrow(arrays, "name bigint, hashes binary"), "minhash-met")
+    full = reduce(DataFrame.unionByName, [common.written(named(i).mapInArrow(arrays, "name bigint, hashes binary"), "minhash-met")
+                                          for i in range(SLICES)])
 
     def links(members: DataFrame) -> DataFrame:
         """Verified links of the buckets' members, (name, band, key, n)."""
@@ -268,10 +278,15 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         cells = blocks.select("band", "key", "name", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
             F.xxhash64("band", "key").alias("key"), "name", F.greatest("own", "other").alias("x"), F.least("own", "other").alias("y"),
             (F.col("own") == F.greatest("own", "other")).alias("home"))
-        placed = cells.join(full, "name").repartition(common.wide_partitions(docs), "key", "x", "y").sortWithinPartitions("key", "x", "y", "name")
-        return placed.select("key", "x", "y", "name", "hashes", "home").mapInArrow(_verified(threshold), "a bigint, b bigint")
+        cells = common.written(cells, "minhash-cells")  # made once, for all slices
+
+        def compared(i: int) -> DataFrame:
+            placed = cells.where(F.pmod(F.xxhash64("key", "x", "y"), F.lit(SLICES)) == i).join(full, "name") \
+                .repartition(common.wide_partitions(docs), "key", "x", "y").sortWithinPartitions("key", "x", "y", "name")
+            return placed.select("key", "x", "y", "name", "hashes", "home").mapInArrow(_verified(threshold), "a bigint, b bigint")
+        return reduce(DataFrame.unionByName, [common.written(compared(i), "minhash-links") for i in range(SLICES)])
 
-    early = common.written(links(band.where(F.col("band") < FIRST)), "minhash-early")
+    early = links(band.where(F.col("band") < FIRST))
     known = common.written(components(early), "minhash-known")
     placed = band.where(F.col("band") >= FIRST).join(known, F.col("name") == F.col("node"), "left") \
         .withColumn("root", F.coalesce("root", "name"))

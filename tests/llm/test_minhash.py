@@ -102,6 +102,24 @@ def test_registered_query_returns_classes(spark, make_docs, tmp_path):
     assert len({c for _, c in got}) < len(got) - 3
 
 
+def test_texts_and_sets_are_moved_a_slice_at_a_time(spark, make_docs, monkeypatch):
+    """No job moves the texts of all sets that met, or compares them all; together the jobs do."""
+    docs = make_docs([(i, " ".join(f"w{k}" for k in range(100)) + f" end{i // 2}" + " more" * (i % 2)) for i in range(100)])
+    monkeypatch.setattr(minhash, "CELL", 16)
+    counts, written = {}, common.written
+
+    def noted(df, label):
+        out = written(df, label)
+        counts.setdefault(label, []).append(out.count())
+        return out
+    monkeypatch.setattr(common, "written", noted)
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == 100 and {r.class_id for r in got} == {0}
+    for label in ("minhash-met", "minhash-links"):
+        assert sum(n > 0 for n in counts[label]) > 1, label
+    assert max(counts["minhash-met"]) < sum(counts["minhash-met"]) == sum(counts["minhash-reps"])
+
+
 def test_shuffle_files_go_with_the_query_that_made_them(spark):
     common.bounded_batches(spark)
     blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
