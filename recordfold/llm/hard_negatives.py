@@ -24,10 +24,12 @@ Rows that repeat an id are rows of their own: a repeated anchor returns its
 rows again, and equal (score, id) share the ranks in turn.  An empty table, or
 one without anchors, gives no rows.  Extra columns are ignored.
 
-Scale: each pair of tiles moves once per round; both tables of tiles are
-written, so a lost executor costs its own tiles only.  A task holds one pair
-of tiles and a bounded number of heaps.  No key gathers more than a tile, so
-hot labels and common vectors spread like any others.
+Scale: each tile moves once per round for every group of tiles that it meets;
+both tables of tiles are written, so a lost executor costs its own tiles only.
+A task holds one pair of tiles, the candidates of one cell and a bounded number
+of heaps.  Nothing that grows is broadcast or sent to the driver.  No key
+gathers more than a cell, so hot labels and common vectors spread like any
+others.
 """
 from __future__ import annotations
 
@@ -46,6 +48,8 @@ from recordfold.llm import common
 ANCHOR_TILE, CANDIDATE_TILE = 512, 2048
 #: Strassen's recursion ends where a side is this short.
 LEAF = 8
+#: Tiles of a side in one cell of pairs, at most.
+GROUP = 8
 #: Anchors whose heaps a task holds before it hands them on.
 HELD_ANCHORS = 32 * ANCHOR_TILE
 NOTHING = np.iinfo(np.int64).min
@@ -197,14 +201,21 @@ def _window_heaps(row: dict, k: int, low: int, high: int) -> tuple[np.ndarray, n
 
 
 def _pairs(anchors: DataFrame, candidates: DataFrame, parts: int, shards: int) -> DataFrame:
-    """Each anchor tile with each candidate tile: candidates are dealt to
-    ``shards``, and both sides name the cell (part, shard) where they meet."""
+    """Each anchor tile with each candidate tile: both are dealt to groups of
+    tiles, and every pair of groups is a cell that its tiles move to.  Groups
+    grow with the number of pairs, up to ``GROUP``, while there are several
+    cells a task.  The cells meet by a merge join: what is repeated for them is
+    never broadcast, however small its table is before."""
+    tasks = common.wide_partitions(anchors)
+    group = max(1, min(GROUP, math.isqrt(parts * shards // (4 * tasks))))
+    rows, cols = math.ceil(parts / group), math.ceil(shards / group)
     a = anchors.select(*[F.col(c).alias(f"a_{c}") for c in anchors.columns]) \
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        .withColumn("row", F.pmod("a_part", F.lit(rows).cast("bigint"))) \
+        .withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
     c = candidates.select(*[F.col(c).alias(f"c_{c}") for c in candidates.columns]) \
-        .withColumn("shard", F.pmod(F.xxhash64("c_tile"), F.lit(shards)).cast("int")) \
-        .withColumn("a_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
-    return a.join(c, ["a_part", "shard"])
+        .withColumn("col", F.pmod(F.xxhash64("c_tile"), F.lit(cols)).cast("int")) \
+        .withColumn("row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))))
+    return a.repartition(tasks, "row", "col").hint("merge").join(c.repartition(tasks, "row", "col"), ["row", "col"])
 
 
 _HEAP = pa.schema([("a_tile", pa.int64()), ("place", pa.int32()), ("slot", pa.int32()), ("anchor_id", pa.int64()),
@@ -266,11 +277,11 @@ def mine(vectors: DataFrame, anchor_step: int = 50, positives: int = 5, negative
     near = common.written(near, "positives")
 
     windows = near.groupBy("a_tile").agg(F.collect_list(F.struct("place", "slot", "positive_score")).alias("scores"))
-    spread = _with_windows(anchors.join(windows, anchors["tile"] == windows["a_tile"]).drop("a_tile"), positives)
+    spread = _with_windows(anchors.hint("merge").join(windows, anchors["tile"] == windows["a_tile"]).drop("a_tile"), positives)
     spread = common.written(spread, "anchor-windows")
     hard = _first(_heaps(_pairs(spread, candidates, parts, shards), lambda row: _window_heaps(row, negatives, low, high)), negatives)
     hard = hard.withColumn("slot", F.col("slot") + 1)
-    return hard.join(near, ["a_tile", "place", "slot"]).select(
+    return hard.hint("merge").join(near, ["a_tile", "place", "slot"]).select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"),
         "positive_score", F.col("score").alias("negative_score"))
 

@@ -77,3 +77,21 @@ def test_repeated_ids_large_components_and_empty_tables(spark):
     assert H.mine(df.where("vec_id % 50 != 0")).count() == 0
     big = [(0, [3e5, 1.0], 0), (1, [2e5, 1.0], 0), (2, [1.5e5, 7.0], 1), (3, [3e38, 3e38], 1)]
     assert answer(H.mine(spark.createDataFrame(big, SCHEMA))) == brute(big[:3])
+
+
+def test_repeated_tiles_are_not_broadcast_and_cells_hold_groups_of_tiles(spark, monkeypatch, capsys):
+    monkeypatch.setattr(H, "CANDIDATE_TILE", 5)
+    monkeypatch.setattr(H, "ANCHOR_TILE", 1)
+    rng = random.Random(7)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], i % 3) for i in range(400)]
+    tiles = lambda n, keep: H.tiles(H.usable(spark.createDataFrame(rows, SCHEMA).where(keep), 256).repartition(n), 5)
+    anchors, candidates = tiles(40, "vec_id % 10 = 0"), tiles(8, "true")
+    monkeypatch.setattr(H.common, "wide_partitions", lambda df: 2)
+    pairs = H._pairs(anchors, candidates, 40, 80)
+    pairs.explain()
+    plan = capsys.readouterr().out
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    met = pairs.select("row", "col", "a_tile", "c_tile").collect()
+    assert len({(r.a_tile, r.c_tile) for r in met}) == len(met) == anchors.count() * candidates.count()
+    assert len({(r.row, r.col) for r in met}) <= 5 * 10
+    assert answer(H.mine(spark.createDataFrame(rows, SCHEMA), anchor_step=10)) == brute(rows, 10)
