@@ -327,13 +327,9 @@ def q_import_reviewer_logs(spark, sf_dir):
     quotes and no ``seq``, read the files back and fold them."""
     from recordfold.operators.overlay import latest_actions
     root = scratch_path(spark, "reviewer-logs")
-    log = ad.decision_log(spark, sf_dir)
-    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS+00:00")
-    cols = [c for c in decisions.COLUMNS if c not in ("seq", "timestamp")]
-    (log.select(stamp.alias("timestamp"), *cols, F.col("user").alias("reviewer"), "seq")
-     .repartition("reviewer").sortWithinPartitions("reviewer", "timestamp", "seq").drop("seq")
-     .write.partitionBy("reviewer").options(**decisions.CSV_OPTIONS).csv(root))
-    la = latest_actions(decisions.read_reviewer_files(spark, f"{root}/reviewer=*"))
+    decisions.write_reviewer_files(ad.decision_log(spark, sf_dir), root)
+    # parsed once: the fold reads the log twice
+    la = latest_actions(materialised(decisions.read_reviewer_files(spark, f"{root}/*"), "reviewer-rows"))
     return la.select("user", "patient_id", "id_sejour", "item_id", ts_text("timestamp").alias("last_ts"),
                      "item_type", "action", "code", "libelle", "type_code", "commentaire")
 

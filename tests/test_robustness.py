@@ -74,3 +74,22 @@ def test_reviewer_files_with_offsets_and_no_seq(spark, tmp_path):
     assert [(r.action, r.commentaire) for r in ana] == [("validé", 'a "quoted", text\nsecond line'), ("rejeté", None)]
     bob = log.where("user = 'bob'").first()
     assert bob.timestamp is None and bob.action == "annulé"
+
+
+def test_reviewer_files_written_by_tasks_come_back_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(decisions, "HELD_BYTES", 50)
+    users = ["ana", "_hidden", ".dot", "a/b c%", "é" * 90, "", None]
+    notes = [' blank ', 'a "quoted", text\nsecond line', "back\\slash", None, "#x", ","]
+    at = dt.datetime(2025, 3, 1, 8, 0, 0, 5)
+    data = [(at, i, u, "P", "S", "suggestion", "1", "validé", None, None, None, n) for u in users for i, n in enumerate(notes)]
+    log = spark.createDataFrame(data[::-1],
+                                "timestamp timestamp_ntz, seq bigint, user string, patient_id string, id_sejour string, item_type string, "
+                                "item_id string, action string, code string, libelle string, type_code string, commentaire string")
+    decisions.write_reviewer_files(log, f"{tmp_path}/log")
+    files = sorted(p for p in (tmp_path / "log").rglob("*") if p.is_file())
+    assert len(files) == 6 and all(p.parent.parent == tmp_path / "log" for p in files)  # '' and null share one
+    back = decisions.read_reviewer_files(spark, f"{tmp_path}/log/*").orderBy("seq").collect()
+    assert {r.timestamp for r in back} == {at}
+    for u in users[:5]:
+        assert [r.commentaire for r in back if r.user == u] == notes
+    assert sorted(str(r.commentaire) for r in back if r.user is None) == sorted(2 * list(map(str, notes)))
