@@ -195,3 +195,19 @@ def test_line_items_meet_their_orders_once(spark, tmp_path):
     assert rows(t["codes_valides"], "patient_id", "code_id") == sorted([("10", "1-1-5"), ("10", "1-6")] * 2)
     assert t["medicaments"].count() == 4 and t["biologie"].count() == 8
     assert rows(t["documents"], "patient_id", "doc_id") == sorted([("10", "1"), ("10", "1"), (None, "4"), (None, None)], key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+def test_rows_of_all_tables_in_one_pass(spark):
+    t = tables(spark)
+    records = dossier.build_dossiers(t)
+    flat, whole = dossier.flatten_dossiers(records), dossier.flatten_rows(records)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Union" not in plan
+    got = whole.collect()
+    assert {r.kind for r in got} == set(flat)
+    for name, df in flat.items():
+        place = {"patients": (), "sejours": ("ordre",)}.get(name, ("pos",))
+        own = [c for c in df.columns if c not in ("patient_id", "id_sejour", *place)]
+        want = [(r.patient_id, r.id_sejour if "id_sejour" in df.columns else None, *[r[p] for p in place], *[r[c] for c in own]) for r in df.collect()]
+        mine = [(r.patient_id, r.id_sejour, *[r.pos for _ in place], *[r[name][c] for c in own]) for r in got if r.kind == name]
+        assert sorted(map(repr, mine)) == sorted(map(repr, want))
